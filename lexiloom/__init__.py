@@ -1 +1,8 @@
 """Code and text analytics on PySpark: declarative DataFrame operators over Parquet-backed relations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
