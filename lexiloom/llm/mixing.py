@@ -19,6 +19,8 @@ BLOCK_BYTES = 1 << 20
 ALPHA = 0.7
 PERIOD = 10_000
 SEED = 11
+#: The tables of sources and of a period's slots are broadcast up to so many rows (about 100 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def integer_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -101,6 +103,8 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_by
     sources = spark.createDataFrame(rows, "__ll_source string, __ll_blocks long, __ll_share long")
     table = [(s, i, slot) for slot, (s, i) in enumerate(pfair_period(shares))] if shares else []
     slot_of = spark.createDataFrame(table, "__ll_slot_source string, __ll_nth long, __ll_at long")
+    if len(table) <= BROADCAST_ROWS:  # a period has at least 8 slots for each source, so this bounds both
+        sources, slot_of = F.broadcast(sources), F.broadcast(slot_of)
     own = docs.select(_source(docs).alias("__ll_s"), docs["doc_id"].alias("__ll_id"), *([docs[c] for c in carry] if carry else []))
     d = own.join(sources, F.col("__ll_s") == F.col("__ll_source"))
     block = F.pmod(F.xxhash64(F.col("__ll_id").cast("long"), F.lit(SEED)), F.col("__ll_blocks"))
