@@ -2,55 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that the numpy kernels work on at once; bounds the memory of a Python worker.
-SLICE_BYTES = 1 << 20
-
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; a local one of our own only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="lexiloom-"))
-        root = _own[0]
-    return root.rstrip("/")
+from lexiloom.durable import materialize, scratch, shared_dir
 
+__all__ = ["materialize", "scratch", "shared_dir"]
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/lexiloom/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended already; nothing else depends on this
-        pass
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that the numpy kernels work on at once; bounds the memory of a Python worker.
+SLICE_BYTES = 1 << 20
 
 
 def id_text(docs: DataFrame, lower: bool = True) -> DataFrame:
