@@ -70,7 +70,7 @@ def _run(table: np.ndarray, loop: np.ndarray, ids: np.ndarray, live: np.ndarray,
     h = np.zeros((hidden, lanes), np.float32)
     for t in range(steps - 1, -1, -1) if back else range(steps):
         n = live[t]
-        now = np.ascontiguousarray(h[:, :n])
+        now = h[:, :n].copy()  # a view would see the next state
         g = loop @ now
         x = table.take(ids[t, :n], axis=1)
         zr = x[: 2 * hidden]
