@@ -229,38 +229,48 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", "of_doc")).alias("spans")).mapInArrow(_merged, "doc_id long, start_word int, end_word int, kept_in array<long>")
 
 
+def _without(text: str, spans: list[dict]) -> str | None:
+    """text without word spans; null if no word is left."""
+    raw = text.encode()
+    # lower-casing may change the length of a character, never what separates words
+    s, _, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    keep, at, left = [], 0, len(s)
+    for x in sorted(spans, key=lambda x: x["start_word"]):
+        if x["start_word"] < len(s):
+            keep.append(raw[at : s[x["start_word"]]])
+            at = s[x["end_word"]] if x["end_word"] < len(s) else len(raw)
+            left -= min(x["end_word"], len(s)) - x["start_word"]
+    return b"".join([*keep, raw[at:]]).decode() if left else None
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text without the word spans in __lexiloom_spans, if there are any."""
+    """Rows without the word spans in __lexiloom_spans, n_chars counted anew; rows that have none go through untouched."""
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("__lexiloom_spans").to_pylist()
-        out = []
-        for t, ss in zip(texts, spans):
-            if ss:
-                raw = t.encode()
-                # lower-casing may change the length of a character, never what separates words
-                s, e, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                keep, at = [], 0
-                for x in sorted(ss, key=lambda x: x["start_word"]):
-                    if x["start_word"] < len(s):
-                        keep.append(raw[at : s[x["start_word"]]])
-                        at = s[x["end_word"]] if x["end_word"] < len(s) else len(raw)
-                t = b"".join([*keep, raw[at:]]).decode()
-            out.append(t)
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
+        spans = batch.column("__lexiloom_spans")
+        rest = batch.drop_columns(["__lexiloom_spans"])
+        hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False) & batch.column("text").is_valid().to_numpy(zero_copy_only=False))
+        if not len(hit):
+            yield rest
+            continue
+        pick = pa.array(hit)
+        texts = [_without(t, s) for t, s in zip(batch.column("text").take(pick).to_pylist(), spans.take(pick).to_pylist())]
+        whole = np.ones(batch.num_rows, bool)
+        whole[hit] = False
+        yield rest.filter(pa.array(whole))
+        left = rest.take(pick).filter(pa.array([t is not None for t in texts]))
+        texts = [t for t in texts if t is not None]
+        for name, values in (("text", texts), ("n_chars", [len(t) for t in texts])):
+            if (i := left.schema.get_field_index(name)) >= 0:
+                left = left.set_column(i, left.schema.field(i), pa.array(values, left.schema.field(i).type))
+        yield left
 
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the passages of repeated_passages cut out of text and n_chars counted anew; columns stay.
 
     A document is dropped only if a cut leaves no word of it. All others, those with a null doc_id or
-    text among them, stay as they are.
+    text among them, stay as they are. The texts are shuffled once, to meet their spans.
     """
     spans = repeated_passages(docs, min_words, similarity).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__lexiloom_spans")).withColumnRenamed("doc_id", "__lexiloom_id")
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__lexiloom_id"], "left")
-    whole = joined.where("__lexiloom_spans is null").select(*[docs[c] for c in docs.columns])
-    part = joined.where("__lexiloom_spans is not null and text is not null").select(*[docs[c] for c in docs.columns], "__lexiloom_spans")
-    done = part.mapInArrow(_cut, part.schema).drop("__lexiloom_spans").where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(done)
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__lexiloom_id"], "left").select(*[docs[c] for c in docs.columns], "__lexiloom_spans")
+    return joined.mapInArrow(_cut, docs.schema)
