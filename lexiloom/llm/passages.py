@@ -30,6 +30,8 @@ MIN_WORDS = 50
 SIMILARITY = 0.7
 #: Segments of the partner are cut at multiples of this many words.
 ROUND = 64
+#: Words of segments in one batch; bounds the memory of a Python worker.
+SEGMENT_WORDS = 1 << 18
 _FUNCTIONS = np.random.default_rng(41).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -110,12 +112,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, end = docs[each], docs[each + 1]
             a, b = np.minimum(base + np.maximum(lo, 0), end), np.minimum(base + hi + 1, end)
             sizes = np.maximum(b - a, 0)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            take = np.repeat(a - at[:-1], sizes) + np.arange(at[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array(side, pa.int32()), pa.array(batch.column("doc_id").to_numpy()[each], pa.int64()), pa.array((a - base).astype(np.int32)), binary_column(h[take], at)],
-                names=["rid", "side", "doc_id", "first", "tokens"],
-            )
+            at, i = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while i < len(sizes):  # a document that thousands ask for is sent in pieces
+                j = max(i + 1, int(np.searchsorted(at, at[i] + SEGMENT_WORDS, side="right")) - 1)
+                off = at[i : j + 1] - at[i]
+                take = np.repeat(a[i:j] - off[:-1], sizes[i:j]) + np.arange(off[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rid[i:j]), pa.array(side[i:j], pa.int32()), pa.array(batch.column("doc_id").to_numpy()[each[i:j]], pa.int64()), pa.array((a[i:j] - base[i:j]).astype(np.int32)), binary_column(h[take], off)],
+                    names=["rid", "side", "doc_id", "first", "tokens"],
+                )
+                i = j
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
