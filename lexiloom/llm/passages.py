@@ -28,6 +28,8 @@ from ._words import mix, trigrams, words
 
 MIN_WORDS = 50
 SIMILARITY = 0.7
+#: So many trigrams in a row may be missing between two parts that qualify on their own.
+GAP = 12
 #: Segments of the partner are cut at multiples of this many words.
 ROUND = 64
 #: Words of segments in one batch; bounds the memory of a Python worker.
@@ -132,33 +134,60 @@ def _grams(t: np.ndarray) -> np.ndarray:
     return (t[:-2] * _A ^ t[1:-1]) * _B + t[2:]
 
 
+def _best_range(at: np.ndarray, least: int, similarity: float) -> tuple[int, int] | None:
+    """(first, last) of the matches at[first..last] whose range, at least so long, has the best score of those that reach similarity."""
+    q = np.arange(len(at)) - similarity * at
+    room = np.searchsorted(at, at - least + 1, side="right")  # matches that a range ending here may begin with
+    score = np.where(room > 0, q - np.minimum.accumulate(q)[np.maximum(room, 1) - 1], -np.inf)
+    last = int(np.argmax(score))
+    if score[last] + 1 - similarity < -1e-9:
+        return None
+    return int(np.argmin(q[: room[last]])), last
+
+
 def duplicate_spans(a: np.ndarray, b: np.ndarray, least: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Word spans [start, end) of a, at least so long, of whose trigrams at least that share occur in b."""
+    """Word spans [start, end) of a, at least so long, of whose trigrams at least that share occur in b.
+
+    A span begins and ends with a trigram that occurs in b. The span of the best score (matches less
+    similarity times all trigrams) is taken first, then those in what is left on both sides, so that
+    every range that qualifies meets a span. Where more than GAP trigrams in a row are missing and
+    both sides qualify on their own, the words between are left out.
+    """
     if len(a) < max(3, least) or len(b) < 3:
         return []
     ga, gb = _grams(a), np.sort(_grams(b))
     found = np.searchsorted(gb, ga)
     hit = gb[np.minimum(found, len(gb) - 1)] == ga
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    at = np.flatnonzero(hit)
+    least = max(least - 2, 1)
+    if len(at) < similarity * least - 1e-9:
+        return []
+    if len(at) == len(ga):
+        return [(0, len(a))]
+
+    def good(x: int, y: int) -> bool:
+        n = at[y] - at[x] + 1
+        return n >= least and y - x + 1 >= similarity * n - 1e-9
+
     out: list[tuple[int, int]] = []
-    held: list[tuple[int, int]] = []
-
-    def close() -> None:
-        if not held:
-            return
-        lo, hi = held[0][0], held[-1][1]
-        if hi - lo + 2 >= least and sum(y - x for x, y in held) >= similarity * (hi - lo):
-            out.append((lo, hi + 2))
-        elif len(held) > 1:
-            out.extend((x, y + 2) for x, y in held if y - x + 2 >= least)
-        held.clear()
-
-    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if held and x - held[-1][1] > min(held[-1][1] - held[0][0], y - x, 12):
-            close()
-        held.append((x, y))
-    close()
-    return out
+    todo, whole = [(0, len(at))], []
+    while todo:
+        x, y = todo.pop()
+        if y - x < similarity * least - 1e-9 or (best := _best_range(at[x:y], least, similarity)) is None:
+            continue
+        first, last = x + best[0], x + best[1]
+        whole.append((first, last))
+        todo += [(x, first), (last + 1, y)]
+    while whole:
+        x, y = whole.pop()
+        gaps = np.diff(at[x : y + 1]) - 1
+        wide = x + np.flatnonzero(gaps > GAP)
+        cut = next((int(k) for k in wide[np.argsort(-gaps[wide - x], kind="stable")] if good(x, k) and good(k + 1, y)), None)
+        if cut is None:
+            out.append((int(at[x]), int(at[y]) + 3))
+        else:
+            whole += [(x, cut), (cut + 1, y)]
+    return sorted(out)
 
 
 def _verified(least: int, similarity: float):

@@ -169,6 +169,32 @@ def test_passages(spark, odd):
     assert kept.columns == odd.columns and kept.where("text is null").count() == 2 and not kept.where("doc_id = 8").count()
 
 
+def test_passage_spans_of_edited_copies():
+    """Against brute force: every range that qualifies meets a span, and every span qualifies."""
+    r = np.random.default_rng(7)
+    for words_, at in ((60, 28), (90, 43)):
+        b = r.integers(0, 1 << 31, words_).astype(np.uint32)
+        a = b.copy()
+        a[[at, at + 4]] = 1, 2
+        assert passages.duplicate_spans(a, b) == [(0, words_)]
+    some = none = 0
+    for n in (50, 55, 60, 80, 100, 150) * 40:
+        b = r.integers(0, 1 << 31, n).astype(np.uint32)
+        a = np.where(r.random(n) < r.choice([0.02, 0.06, 0.08, 0.12]), r.integers(0, 1 << 31, n), b)
+        a = np.concatenate([r.integers(0, 1 << 31, 20), a, r.integers(0, 1 << 31, 20)]).astype(np.uint32)
+        there = {tuple(b[i : i + 3]) for i in range(n - 2)}
+        hit = np.array([tuple(a[i : i + 3]) in there for i in range(len(a) - 2)])
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        good = {(i, j + 2) for i in np.flatnonzero(hit) for j in np.flatnonzero(hit) + 1 if j - i >= 48 and sums[j] - sums[i] >= 0.7 * (j - i) - 1e-9}
+        spans = passages.duplicate_spans(a, b)
+        assert set(spans) <= good
+        assert all(any(s < y and x < e for s, e in spans) for x, y in good)
+        some, none = some + bool(good), none + (not good)
+    assert some > 50 and none > 20
+    parts = [r.integers(0, 1 << 31, k).astype(np.uint32) for k in (200, 120, 200)]  # words of its own between two copies stay
+    assert passages.duplicate_spans(np.concatenate(parts), np.concatenate([parts[0], parts[2]])) == [(0, 200), (320, 520)]
+
+
 def test_digests(spark, odd):
     texts = ["Hello  World", "hello world ", "ﬁne", "FINE", "other", "", " "]
     got = {r["doc_id"]: (r["keeper"], r["copies"]) for r in digests.canonical_copies(table(spark, texts)).collect()}
