@@ -8,14 +8,17 @@ are intersected as intervals, so that a candidate must share both anchors; two s
 are used. An exactly repeated run shares every anchor and is always found; a run with similarity J in
 trigrams meets with probability 1 - (1 - J**2)**2 for each of the windows that it spans.
 
-Candidates with the same anchors are compared with the one of the smallest doc_id only (the others with
-it, not with each other), those of one pair of documents and one offset together. Verification takes the
-words themselves: a span is a duplicate where at least SIMILARITY of its trigrams occur in the partner's
-segment.
+Candidates with the same anchors are first compared with the one of the smallest doc_id, those of one pair
+of documents and one offset together. The few that it doesn't confirm are then brought together by their
+anchors, and each is compared with the earlier ones that nothing has confirmed either, until one does.
+Verification takes the words themselves: a span is a duplicate where at least SIMILARITY of its trigrams
+occur in the partner's segment.
 """
 
 from __future__ import annotations
 
+import gc
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import binary_column, id_text, run_starts, slices, text_buffer, whole_groups
+from ._base import binary_column, id_text, materialize, run_starts, slices, text_buffer, whole_groups
 from ._words import mix, trigrams, words
 
 MIN_WORDS = 50
@@ -34,6 +37,10 @@ GAP = 12
 ROUND = 64
 #: Words of segments in one batch; bounds the memory of a Python worker.
 SEGMENT_WORDS = 1 << 18
+#: A trigram that more of the unconfirmed candidates of one key have doesn't lead from one to another.
+COMMON = 64
+#: So many documents at most are picked by a broadcast of their ids.
+BROADCAST_IDS = 1_000_000
 _FUNCTIONS = np.random.default_rng(41).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -157,13 +164,17 @@ def duplicate_spans(a: np.ndarray, b: np.ndarray, least: int = MIN_WORDS, simila
         return []
     ga, gb = _grams(a), np.sort(_grams(b))
     found = np.searchsorted(gb, ga)
-    hit = gb[np.minimum(found, len(gb) - 1)] == ga
+    return _ranges(gb[np.minimum(found, len(gb) - 1)] == ga, least, similarity)
+
+
+def _ranges(hit: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+    """The spans of duplicate_spans, by which trigrams of a occur in b."""
     at = np.flatnonzero(hit)
     least = max(least - 2, 1)
     if len(at) < similarity * least - 1e-9:
         return []
-    if len(at) == len(ga):
-        return [(0, len(a))]
+    if len(at) == len(hit):
+        return [(0, len(hit) + 2)]
 
     def good(x: int, y: int) -> bool:
         n = at[y] - at[x] + 1
@@ -211,6 +222,50 @@ def _verified(least: int, similarity: float):
     return run
 
 
+def _rest(least: int, similarity: float):
+    """Spans among the candidates of each key (rid), which come in the order of doc_id and position (side).
+
+    A candidate is compared with those before it that are unconfirmed, in order, until one confirms it. Left
+    out are only pairs that can't reach a span: without its COMMON trigrams a candidate must share another
+    with its partner, unless these alone would do, and enough of both for the shortest span.
+    """
+    enough = similarity * max(least - 2, 1) - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept, having = None, [], defaultdict(list)
+        for batch in batches:
+            out = []
+            for rid, pos, doc, first, raw in zip(*(batch.column(c).to_pylist() for c in ("rid", "side", "doc_id", "first", "tokens"))):
+                if rid != key:
+                    key, kept, having = rid, [], defaultdict(list)
+                a = np.frombuffer(raw, np.uint32)
+                if len(a) < max(least, 3):
+                    continue
+                grams = _grams(a).tolist()
+                common = np.array([len(having.get(g, ())) > COMMON for g in grams])
+                if common.any() and _ranges(common, least, similarity):
+                    tried = range(len(kept))
+                else:
+                    shared = Counter(k for g, c in zip(grams, common) if not c for k in having.get(g, ()))
+                    tried = sorted(k for k, n in shared.items() if n + common.sum() >= enough)
+                for k in tried:
+                    if kept[k][0] == doc:
+                        continue
+                    spans = duplicate_spans(a, kept[k][1], least, similarity)
+                    out += [(doc, first + s, first + e, kept[k][0]) for s, e in spans]
+                    if any(s <= pos - first < e for s, e in spans):
+                        break
+                else:
+                    for g in set(grams):
+                        having[g].append(len(kept))
+                    kept.append((doc, a))
+            if out:
+                c = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64())], names=["doc_id", "start_word", "end_word", "of_doc"])
+
+    return run
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
@@ -235,17 +290,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     """(doc_id, start_word, end_word, kept_in): the passages of a document that repeat one of a document with a smaller doc_id.
 
     Spans count words (see _words) from 0 and exclude end_word; overlapping ones are merged; kept_in lists
-    the documents whose passage stays. The first document of a passage is never listed for it. Rows with a
+    the documents whose passage stays; a passage is compared with those of its anchors' first document, then
+    with those that nothing earlier confirmed. The first document of a passage is never listed for it. Rows with a
     null doc_id or text and texts of fewer than min_words words give nothing, nor do passages repeated
     within one document only, nor rows that repeat a doc_id (those of different text are all searched, and
     a span holds for each). An empty table gives no rows. Only doc_id and text are read.
     """
     if min_words < 4:
         raise ValueError("min_words must be 4 or more")
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = id_text(docs)
+    of_key = Window.partitionBy("key")
+    by = of_key.orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = text.mapInArrow(_windows(min_words - 2), "key long, doc_id long, pos int, lo int, hi int")
-    by = Window.partitionBy("key").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    hub = rows.select("*", *(F.first(c).over(by).alias(f"hub_{c}") for c in ("doc_id", "pos", "lo", "hi"))).where("doc_id <> hub_doc_id")
+    rows = rows.select("*", *(F.first(c).over(by).alias(f"hub_{c}") for c in ("doc_id", "pos", "lo", "hi")), F.max("doc_id").over(of_key).alias("last_doc"))
+    rows = materialize(rows.where("last_doc <> hub_doc_id and (doc_id <> hub_doc_id or pos <> hub_pos)").drop("last_doc"), "windows")
+    _release(spark)
+    hub = rows.where("doc_id <> hub_doc_id")
     asked = hub.groupBy("doc_id", "hub_doc_id", (F.col("pos") - F.col("hub_pos")).alias("offset")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi"))
     rid = F.xxhash64("doc_id", "hub_doc_id", "offset")
     low, high = (F.floor(F.col("hub_lo") / ROUND) * ROUND).cast("int"), (F.floor(F.col("hub_hi") / ROUND) * ROUND + ROUND - 1).cast("int")
@@ -257,11 +319,32 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             )
         ).alias("x")
     ).select("x.*")
-    needs = both.groupBy("d").agg(F.collect_list(F.struct("rid", "side", "lo", "hi")).alias("asked"))
-    parts = text.join(needs, text["doc_id"] == needs["d"]).select("doc_id", "text", "asked").mapInArrow(_segments, "rid long, side int, doc_id long, first int, tokens binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = parts.repartition(n, "rid").sortWithinPartitions("rid", "side").mapInArrow(_verified(min_words, similarity), "doc_id long, start_word int, end_word int, of_doc long")
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", "of_doc")).alias("spans")).mapInArrow(_merged, "doc_id long, start_word int, end_word int, kept_in array<long>")
+    parts = _asked_segments(text, both)
+    kind = "doc_id long, start_word int, end_word int, of_doc long"
+    spans = materialize(parts.repartition(n, "rid").sortWithinPartitions("rid", "side").mapInArrow(_verified(min_words, similarity), kind).distinct(), "spans")
+    _release(spark)
+    of_pair = spans.groupBy(F.col("doc_id").alias("d"), F.col("of_doc").alias("o")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    left = rows.join(of_pair, (F.col("doc_id") == F.col("d")) & (F.col("hub_doc_id") == F.col("o")), "left")
+    left = left.where(~F.coalesce(F.exists("spans", lambda x: (x["start_word"] <= F.col("pos")) & (F.col("pos") < x["end_word"])), F.lit(False)))
+    left = left.select("key", "doc_id", "pos", "lo", "hi", F.min("doc_id").over(of_key).alias("least"), F.max("doc_id").over(of_key).alias("most")).where("least <> most")
+    left = materialize(left.select(F.col("doc_id").alias("d"), F.col("key").alias("rid"), F.col("pos").alias("side"), "lo", "hi"), "unconfirmed")
+    ids = left.select("d").distinct()
+    if left.count() <= BROADCAST_IDS:
+        text = text.join(F.broadcast(ids), text["doc_id"] == ids["d"], "left_semi")
+    rest = _asked_segments(text, left).repartition(n, "rid").sortWithinPartitions("rid", "doc_id", "side").mapInArrow(_rest(min_words, similarity), kind)
+    return spans.union(rest).groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", "of_doc")).alias("spans")).mapInArrow(_merged, "doc_id long, start_word int, end_word int, kept_in array<long>")
+
+
+def _asked_segments(text: DataFrame, asked: DataFrame) -> DataFrame:
+    """The segments that (d, rid, side, lo, hi) asks for."""
+    needs = asked.groupBy("d").agg(F.collect_list(F.struct("rid", "side", "lo", "hi")).alias("asked"))
+    return text.join(needs, text["doc_id"] == needs["d"]).select("doc_id", "text", "asked").mapInArrow(_segments, "rid long, side int, doc_id long, first int, tokens binary")
+
+
+def _release(spark) -> None:
+    """Let go of the shuffle files of jobs that have ended; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _without(text: str, spans: list[dict]) -> str | None:

@@ -7,6 +7,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,29 @@ def test_passage_spans_of_edited_copies():
     assert passages.duplicate_spans(np.concatenate(parts), np.concatenate([parts[0], parts[2]])) == [(0, 200), (320, 520)]
 
 
+def test_passages_whose_first_partner_is_no_copy(spark):
+    """B and C share 50 words of which A holds the inner 40; in D the stock phrase stands before what E repeats."""
+    texts, copies = [], set()
+    for k in range(40):
+        shared, stock = prose(50, 5000 + k), prose(45, 7000 + k)
+        texts.append(prose(60, 8000 + k) + " " + " ".join(shared.split()[5:45]) + " " + prose(60, 9000 + k))
+        texts += [prose(60, 10000 + 2 * k + i) + " " + shared + " " + prose(60, 11000 + 2 * k + i) for i in (0, 1)]
+        copies.add(5 * k + 2)
+        own = stock + " " + prose(15, 12000 + k)
+        texts += [prose(30, 13000 + k) + " " + stock + " " + prose(60, 14000 + k) + " " + own, prose(60, 15000 + k) + " " + own]
+        copies.add(5 * k + 4)
+    rows = passages.repeated_passages(table(spark, texts)).collect()
+    assert {r["doc_id"] for r in rows} == copies
+    assert all(r["kept_in"] == [r["doc_id"] - 1] for r in rows)
+    r = np.random.default_rng(1)
+    phrase = r.integers(0, 1 << 31, 30).astype(np.uint32)
+    segments = [np.concatenate([phrase, r.integers(0, 1 << 31, 60)]).astype(np.uint32) for _ in range(300)]
+    segments[290], segments[299] = segments[3].copy(), np.concatenate([phrase, segments[7][30:55], r.integers(0, 1 << 31, 35)]).astype(np.uint32)
+    batch = pa.RecordBatch.from_pydict({"rid": [1] * 300, "side": [5] * 300, "doc_id": list(range(300)), "first": [0] * 300, "tokens": [s.tobytes() for s in segments]})
+    got = [x for b in passages._rest(50, 0.7)(iter([batch])) for x in zip(*b.to_pydict().values())]
+    assert got == [(290, 0, 90, 3), (299, 0, 55, 7)]
+
+
 def test_digests(spark, odd):
     texts = ["Hello  World", "hello world ", "ﬁne", "FINE", "other", "", " "]
     got = {r["doc_id"]: (r["keeper"], r["copies"]) for r in digests.canonical_copies(table(spark, texts)).collect()}
