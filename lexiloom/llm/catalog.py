@@ -31,6 +31,10 @@ def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redirects.redirect_decisions(_table(spark, sf_dir, "pages"))
 
 
+def op5_blocked_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirects.redirect_decisions(_table(spark, sf_dir, "pages"), block=redirects.host_patterns(redirects.BLOCKED_HOSTS, True), allow=redirects.host_patterns(redirects.ALLOWED_HOSTS, False))
+
+
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.risk_controlled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,5 +55,5 @@ def op10_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_karmarkar_karp_shards, op2_separator_scan, op3_ngram_jaccard_join, op4_first_fit_decreasing, op5_redirect_equivalence, op6_risk_controlled_rules, op7_pfair_mix, op8_compact_windows, op9_canonical_digest, op10_byte_bigru)}
+QUERIES = {f.__name__: f for f in (op1_karmarkar_karp_shards, op2_separator_scan, op3_ngram_jaccard_join, op4_first_fit_decreasing, op5_redirect_equivalence, op5_blocked_hosts, op6_risk_controlled_rules, op7_pfair_mix, op8_compact_windows, op9_canonical_digest, op10_byte_bigru)}
 SQL = {"op3_ngram_jaccard_join": jaccard.SQL, "op5_redirect_equivalence": redirects.SQL, "op6_risk_controlled_rules": rules.SQL, "op9_canonical_digest": digests.SQL}

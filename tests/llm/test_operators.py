@@ -128,6 +128,20 @@ def test_redirects(spark):
     assert redirects.redirect_decisions(p.limit(0)).count() == 0
 
 
+def test_blocked_hosts(spark, tmp_path):
+    urls = {
+        "block": ["http://spam-farm.example.com", "https://m.CASINO-WIN.example.com:443/a?b=1", "http://blog.adult-x.example.net/x", "http://me@free-bets.example.com/", "http://www.cheap-pills.example.com?ref=x", "ads-track.example.com/1"],
+        "pass": ["http://a.org/1?ref=x", "http://blog.a.org/2", "http://a.org/spam-farm.example.com/", "http://a.org/?u=http://spam-farm.example.com/", "http://notspam-farm.example.com/", "http://spam-farm.example.com.a.org/", None],
+    }
+    rows = [(u, d) for d, us in urls.items() for u in us]
+    spark.createDataFrame([(i, u, None) for i, (u, _) in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["decision"] for r in catalog.QUERIES["op5_blocked_hosts"](spark, str(tmp_path)).collect()}
+    assert got == {i: d for i, (_, d) in enumerate(rows)}
+    page = spark.read.parquet(f"{tmp_path}/pages.parquet").where("url like '%adult-x%'")
+    kept = redirects.redirect_decisions(page, block=redirects.host_patterns(redirects.BLOCKED_HOSTS, True), allow=redirects.host_patterns(["blog.adult-x.example.net"], False))
+    assert [r["decision"] for r in kept.collect()] == ["allow"]
+
+
 def test_rules(spark, odd):
     for n, risk, level in ((50, 0.1, 0.05), (400, 0.01, 0.01), (5, 0.01, 0.05), (1000, 0.02, 0.001)):
         k = rules.most_rejections(n, risk, level)
