@@ -46,6 +46,18 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if not name.endswith(".parquet") else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     events = source.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("path"), "event_type")
     out = scratch(spark, f"bursts-{uuid.uuid4().hex[:8]}")
-    q = debounced(events, gap="10 minutes", keys=["event_type"], watermark="1 minute").select("event_type", "first_ms", "last_ms", "events").writeStream.format("parquet").option("path", out + "/rows").option("checkpointLocation", out + "/state").outputMode("append").trigger(availableNow=True).start()
+    bursts = debounced(events, gap="10 minutes", keys=["event_type"], watermark=None).select("event_type", "first_ms", "last_ms", "events")
+
+    ran: list[int] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        ran.append(number)
+        batch.write.mode("overwrite").parquet(out + "/rows")
+
+    # the end of a table closes its bursts, which a watermark would leave open; and no late event is dropped
+    q = bursts.writeStream.foreachBatch(each).option("checkpointLocation", out + "/state").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("event_type string, first_ms long, last_ms long, events long").parquet(out + "/rows")
+    schema = "event_type string, first_ms long, last_ms long, events long"
+    if not ran:  # no event at all, so no batch
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out + "/rows")

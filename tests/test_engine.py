@@ -14,7 +14,7 @@ from lexiloom.engine import Engine, Index, build_index, merge_roots
 from lexiloom.operators.callgraph import CallGraph
 from lexiloom.operators.deps import cycle_heads, cycle_members, has_cycle_from
 from lexiloom.operators.search import query_tokens
-from lexiloom.streaming.watch import debounced, watch
+from lexiloom.streaming.watch import debounced, replay, watch
 
 FILES = {
     "src/engine.rs": "use crate::utils::scale;\n/// Runs.\npub struct Engine { rate: u32 }\nimpl Engine {\n    pub fn run(&self) { scale(1.0); }\n}\n",
@@ -134,3 +134,14 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["a.rs"]
+
+
+def test_replay_ends_its_bursts(spark, tmp_path):
+    times = [("a", 0), ("a", 5), ("b", 7), ("a", 40), ("b", 90), ("a", 91), ("a", 99)]
+    rows = [(f"2024-01-01 {m // 60:02}:{m % 60:02}:00", i, t) for i, (t, m) in enumerate(times)]
+    e = spark.createDataFrame(rows, "ts string, user_id long, event_type string").selectExpr("cast(ts as timestamp_ntz) as ts", "user_id", "event_type")
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["event_type"], r["events"]) for r in replay(spark, f"{tmp_path}/events.parquet/{next(tmp_path.glob('events.parquet/*.parquet')).name}").collect())
+    assert got == [("a", 1), ("a", 2), ("a", 2), ("b", 1), ("b", 1)]
+    e.limit(0).coalesce(1).write.parquet(f"{tmp_path}/none.parquet")
+    assert replay(spark, f"{tmp_path}/none.parquet/{next(tmp_path.glob('none.parquet/*.parquet')).name}").count() == 0
