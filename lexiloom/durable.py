@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a local folder of our own only where that is unset, as in tests."""
+    """The session's spark.checkpoint.dir. Where that is unset, a folder of this machine for a local session; on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="lexiloom-"))
         root = _own[0]
@@ -24,11 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder; removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/lexiloom/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -37,9 +44,40 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside let go of their shuffle files when they end; a table that they wrote needs none of them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write a table to a path, without keeping the shuffle files of doing so, and read it back."""
     spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    return written(df, scratch(df.sparkSession, tag))
+
+
+class Temporary:
+    """Intermediate tables of one operator, each removable as soon as later ones no longer read it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths[tag] = scratch(self.spark, tag)
+        return written(df, self.paths[tag])
+
+    def drop(self, *tags: str) -> None:
+        for t in tags:
+            remove(self.spark, self.paths.pop(t))
