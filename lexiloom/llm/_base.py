@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.durable import materialize, scratch, shared_dir
+from lexiloom.durable import Temporary, materialize, scratch, written
 
-__all__ = ["materialize", "scratch", "shared_dir"]
+__all__ = ["Temporary", "materialize", "scratch", "written"]
 
 #: Bytes of text that the numpy kernels work on at once; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
@@ -25,6 +25,14 @@ def id_text(docs: DataFrame, lower: bool = True) -> DataFrame:
     )
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, for a column of our own beside theirs."""
+    taken = {c.lower() for c in docs.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about limit bytes of text, at least one row each."""
     n = batch.num_rows

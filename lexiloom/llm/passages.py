@@ -4,44 +4,53 @@ Every run of at least MIN_WORDS words has, under a hash function, a trigram of l
 document that share it are one compact window (first, anchor, last): the subtree of the anchor in the
 Cartesian tree over the hashes, found as the nearest smaller values on both sides. Only anchors whose
 subtree is long enough are kept, about 2 / MIN_WORDS of all positions. The windows of two hash functions
-are intersected as intervals, so that a candidate must share both anchors; two such pairs of functions
-are used. An exactly repeated run shares every anchor and is always found; a run with similarity J in
-trigrams meets with probability 1 - (1 - J**2)**2 for each of the windows that it spans.
+are intersected as intervals, so that a candidate must share both anchors; PAIRS such pairs of functions
+are used. Windows of one document that have the same anchors and overlap (repetitions) are one. An exactly
+repeated run shares every anchor and is always found; a run with similarity J in trigrams meets with
+probability 1 - (1 - J**2)**PAIRS for each of the windows that it spans.
 
 Candidates with the same anchors are first compared with the one of the smallest doc_id, those of one pair
-of documents and one offset together. The few that it doesn't confirm are then brought together by their
+of documents and one offset together. Those that it doesn't confirm are then brought together by their
 anchors, and each is compared with the earlier ones that nothing has confirmed either, until one does.
 Verification takes the words themselves: a span is a duplicate where at least SIMILARITY of its trigrams
 occur in the partner's segment.
+
+No group is gathered in one row or task: the first document of each key comes from an aggregate and a join
+that adaptive execution splits where a key is hot, what is asked of a document is distinct ranges of it, and
+a segment that many ask for is sent to one task for every ASKERS of them.
 """
 
 from __future__ import annotations
 
-import gc
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import binary_column, id_text, materialize, run_starts, slices, text_buffer, whole_groups
+from ._base import Temporary, binary_column, free_name, id_text, run_starts, slices, text_buffer, whole_groups
 from ._words import mix, trigrams, words
 
 MIN_WORDS = 50
 SIMILARITY = 0.7
+#: Pairs of hash functions.
+PAIRS = 3
 #: So many trigrams in a row may be missing between two parts that qualify on their own.
 GAP = 12
 #: Segments of the partner are cut at multiples of this many words.
 ROUND = 64
+#: So many askers of one segment at most meet it in one task.
+ASKERS = 4096
 #: Words of segments in one batch; bounds the memory of a Python worker.
 SEGMENT_WORDS = 1 << 18
+#: Words that are compared in one go; their trigrams stay in the processor's cache.
+CHUNK_WORDS = 1 << 16
 #: A trigram that more of the unconfirmed candidates of one key have doesn't lead from one to another.
 COMMON = 64
 #: So many documents at most are picked by a broadcast of their ids.
 BROADCAST_IDS = 1_000_000
-_FUNCTIONS = np.random.default_rng(41).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
+_FUNCTIONS = np.random.default_rng(41).integers(1, 1 << 63, 2 * PAIRS, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -78,6 +87,19 @@ def compact_windows(g: np.ndarray, at: np.ndarray, least: int, factor: np.uint64
     return starts, under, c, first, last
 
 
+def merged_windows(key, doc, pos, lo, hi):
+    """The windows of a document with the same key whose ranges overlap, as one; its pos is the first."""
+    order = np.lexsort((lo, key, doc))
+    key, doc, pos, lo, hi = (x[order] for x in (key, doc, pos, lo, hi))
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    lift = np.cumsum(fresh) * (int(hi.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(hi + lift)
+    fresh[1:] |= lo[1:] + lift[1:] > reach[:-1]
+    at = np.flatnonzero(fresh)
+    return key[at], doc[at], np.minimum.reduceat(pos, at), lo[at], np.maximum.reduceat(hi, at)
+
+
 def _windows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -89,7 +111,7 @@ def _windows(least: int):
                     continue
                 ids = batch.column("doc_id").to_numpy()
                 owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                for pair in (0, 1):
+                for pair in range(PAIRS):
                     s, u1, c1, f1, l1 = compact_windows(g, at, least, _FUNCTIONS[2 * pair])
                     _, u2, c2, f2, l2 = compact_windows(g, at, least, _FUNCTIONS[2 * pair + 1])
                     new = np.ones(len(s), bool)
@@ -98,17 +120,17 @@ def _windows(least: int):
                     x, y = np.searchsorted(c1, a), np.searchsorted(c2, b)
                     doc = owner[a]
                     key = mix(g[a] ^ mix(g[b] + np.uint64(pair)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(ids[doc], pa.int64())]
-                        + [pa.array((z - at[doc]).astype(np.int32)) for z in (a, np.maximum(f1[x], f2[y]), np.minimum(l1[x], l2[y]) + 2)],
-                        names=["key", "doc_id", "pos", "lo", "hi"],
-                    )
+                    key, doc, *ends = merged_windows(key.view(np.int64), doc, *(z - at[doc] for z in (a, np.maximum(f1[x], f2[y]), np.minimum(l1[x], l2[y]) + 2)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[doc], pa.int64()), *(pa.array(z.astype(np.int32)) for z in ends)], names=["key", "doc_id", "pos", "lo", "hi"])
 
     return run
 
 
+_SEGMENT = "hub long, blo int, bhi int, s0 int, s1 int, side int, doc_id long, first int, tokens binary"
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes (32 bits) of the asked-for word ranges of each document."""
+    """The word hashes (32 bits) of the asked-for word ranges of each document, with what they were asked for."""
     for big in batches:
         for batch in slices(big):
             data, off = text_buffer(batch.column("text"))
@@ -117,23 +139,30 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask = batch.column("asked")
             each = np.repeat(np.arange(batch.num_rows), np.diff(ask.offsets.to_numpy()))
             f = ask.flatten()
-            rid, side, lo, hi = (f.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            lo, hi = (f.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
+            rest = [f.field(k) for k in ("hub", "blo", "bhi", "s0", "s1", "side")]
             base, end = docs[each], docs[each + 1]
             a, b = np.minimum(base + np.maximum(lo, 0), end), np.minimum(base + hi + 1, end)
             sizes = np.maximum(b - a, 0)
             at, i = np.concatenate([[0], np.cumsum(sizes)]), 0
-            while i < len(sizes):  # a document that thousands ask for is sent in pieces
+            while i < len(sizes):  # many ranges of one document are sent in pieces
                 j = max(i + 1, int(np.searchsorted(at, at[i] + SEGMENT_WORDS, side="right")) - 1)
                 off = at[i : j + 1] - at[i]
                 take = np.repeat(a[i:j] - off[:-1], sizes[i:j]) + np.arange(off[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[i:j]), pa.array(side[i:j], pa.int32()), pa.array(batch.column("doc_id").to_numpy()[each[i:j]], pa.int64()), pa.array((a[i:j] - base[i:j]).astype(np.int32)), binary_column(h[take], off)],
-                    names=["rid", "side", "doc_id", "first", "tokens"],
+                    [*(x.slice(i, j - i) for x in rest), pa.array(batch.column("doc_id").to_numpy()[each[i:j]], pa.int64()), pa.array((a[i:j] - base[i:j]).astype(np.int32)), binary_column(h[take], off)],
+                    names=["hub", "blo", "bhi", "s0", "s1", "side", "doc_id", "first", "tokens"],
                 )
                 i = j
 
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+def _asked_segments(text: DataFrame, asked: DataFrame) -> DataFrame:
+    """The segments that (d, lo, hi, hub, blo, bhi, s0, s1, side) asks for; of one document these are as many as it has windows, or fewer."""
+    needs = asked.groupBy("d").agg(F.collect_list(F.struct("lo", "hi", "hub", "blo", "bhi", "s0", "s1", "side")).alias("asked"))
+    return text.join(needs, text["doc_id"] == needs["d"]).select("doc_id", "text", "asked").mapInArrow(_segments, _SEGMENT)
+
+
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _grams(t: np.ndarray) -> np.ndarray:
@@ -201,67 +230,147 @@ def _ranges(hit: np.ndarray, least: int, similarity: float) -> list[tuple[int, i
     return sorted(out)
 
 
+_SPAN = "doc_id long, start_word int, end_word int, of_doc long"
+
+
+def _span_batch(out: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64())], names=["doc_id", "start_word", "end_word", "of_doc"])
+
+
+def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all rows, offsets)."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data, off = text_buffer(c)
+    return data.view(np.uint32), off // 4
+
+
+def _hits(tokens: np.ndarray, off: np.ndarray, group: np.ndarray, partner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which trigrams of the rows that aren't partners occur in a partner of their group, flat; its first for each row).
+
+    Rows shorter than three words have no trigram; the entries of partners mean nothing.
+    """
+    sizes = np.maximum(np.diff(off) - 2, 0)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    if not len(owner):
+        return np.zeros(0, bool), at
+    take = np.arange(len(owner)) - at[owner] + off[owner]
+    t = tokens.astype(np.uint64)
+    g = (t[take] * _A ^ t[take + 1]) * _B + t[take + 2]
+    g ^= group[owner].astype(np.uint64) * _C
+    theirs = np.sort(g[partner[owner]])
+    if not len(theirs):
+        return np.zeros(len(g), bool), at
+    return theirs[np.minimum(np.searchsorted(theirs, g), len(theirs) - 1)] == g, at
+
+
 def _verified(least: int, similarity: float):
+    """Spans of the rows of side 1 that occur in the row of side 0 of their gid."""
+    enough = similarity * max(least - 2, 1) - 1e-9
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["rid"], rows=5_000):
-            starts = np.append(run_starts(t, ["rid"]), t.num_rows)
-            side, doc, first, raw = t.column("side").to_numpy(), t.column("doc_id").to_numpy(), t.column("first").to_numpy(), t.column("tokens")
-            out = []
-            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                own = [k for k in range(i, j) if side[k] == 0]
-                other = [k for k in range(i, j) if side[k] == 1]
-                for k in own:  # more than one of each only where rows repeat a doc_id
-                    a = np.frombuffer(raw[k].as_buffer(), np.uint32)
-                    for m in other:
-                        for s, e in duplicate_spans(a, np.frombuffer(raw[m].as_buffer(), np.uint32), least, similarity):
-                            out.append((int(doc[k]), int(first[k]) + s, int(first[k]) + e, int(doc[m])))
+        for t in whole_groups(batches, ["gid"], rows=5_000):
+            starts = np.append(run_starts(t, ["gid"]), t.num_rows)
+            side, doc, first = (t.column(c).to_numpy() for c in ("side", "doc_id", "first"))
+            flat, off = _tokens(t.column("tokens"))
+            out: list[tuple] = []
+            owners = np.add.reduceat((side == 0).astype(np.int64), starts[:-1])
+            for k in np.flatnonzero(owners > 1):  # rows that repeat a doc_id, with texts of their own
+                i, j = starts[k], starts[k + 1]
+                for x in (x for x in range(i, j) if side[x] == 1):
+                    for m in (m for m in range(i, j) if side[m] == 0):
+                        out += [(int(doc[x]), int(first[x]) + s, int(first[x]) + e, int(doc[m])) for s, e in duplicate_spans(flat[off[x] : off[x + 1]], flat[off[m] : off[m + 1]], least, similarity)]
+            plain = np.flatnonzero(owners == 1)
+            a = 0
+            while a < len(plain):
+                b, n = a, 0
+                while b < len(plain) and (b == a or n < CHUNK_WORDS):
+                    n += off[starts[plain[b] + 1]] - off[starts[plain[b]]]
+                    b += 1
+                rows = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in plain[a:b]])
+                group = np.repeat(np.arange(b - a), starts[plain[a:b] + 1] - starts[plain[a:b]])
+                sizes = off[rows + 1] - off[rows]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                own = flat[np.repeat(off[rows] - ends[:-1], sizes) + np.arange(ends[-1])]
+                partner = side[rows] == 0
+                hit, at = _hits(own, ends, group, partner)
+                total = np.concatenate([[0], np.cumsum(hit)])
+                of = doc[rows[partner]]  # one for each group, in order
+                for x in np.flatnonzero(~partner & (total[at[1:]] - total[at[:-1]] >= enough)).tolist():
+                    r = rows[x]
+                    out += [(int(doc[r]), int(first[r]) + s, int(first[r]) + e, int(of[group[x]])) for s, e in _ranges(hit[at[x] : at[x + 1]], least, similarity)]
+                a = b
             if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64())], names=["doc_id", "start_word", "end_word", "of_doc"])
+                yield _span_batch(out)
 
     return run
 
 
+def _led(parts: list[np.ndarray], enough: float) -> tuple[dict[int, list[int]], np.ndarray]:
+    """(for each segment the earlier ones that share enough trigrams with it, ascending; how many common ones each has).
+
+    Enough counts the trigrams that at most COMMON segments have, of which one at least is shared, and all common ones.
+    """
+    sizes = np.array([max(len(x) - 2, 0) for x in parts])
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    g = np.concatenate([_grams(x) for x in parts if len(x) > 2] or [np.zeros(0, np.uint64)])
+    order = np.lexsort((owner, g))
+    g, owner = g[order], owner[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+    g, owner, weight = g[new], owner[new], np.diff(np.append(np.flatnonzero(new), len(new)))
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(g)))
+    common = np.bincount(owner, np.repeat(count > COMMON, count) * weight, len(parts))
+    codes, shared = [], []
+    for c in np.unique(count[(count > 1) & (count <= COMMON)]):
+        at = start[count == c][:, None] + np.arange(c)
+        i, j = np.triu_indices(c, 1)
+        codes.append((owner[at[:, j]] * len(parts) + owner[at[:, i]]).ravel())
+        shared.append(weight[at[:, j]].ravel())
+    led: dict[int, list[int]] = {}
+    if codes:
+        code, back = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(back, np.concatenate(shared))
+        for x in code[n + common[code // len(parts)] >= enough].tolist():
+            led.setdefault(x // len(parts), []).append(x % len(parts))
+    return led, common
+
+
 def _rest(least: int, similarity: float):
-    """Spans among the candidates of each key (rid), which come in the order of doc_id and position (side).
+    """Spans among the candidates of each key (hub), which come in the order of doc_id and position (side).
 
     A candidate is compared with those before it that are unconfirmed, in order, until one confirms it. Left
-    out are only pairs that can't reach a span: without its COMMON trigrams a candidate must share another
-    with its partner, unless these alone would do, and enough of both for the shortest span.
+    out are only pairs that can't reach a span, because they share too few trigrams.
     """
     enough = similarity * max(least - 2, 1) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, kept, having = None, [], defaultdict(list)
-        for batch in batches:
-            out = []
-            for rid, pos, doc, first, raw in zip(*(batch.column(c).to_pylist() for c in ("rid", "side", "doc_id", "first", "tokens"))):
-                if rid != key:
-                    key, kept, having = rid, [], defaultdict(list)
-                a = np.frombuffer(raw, np.uint32)
-                if len(a) < max(least, 3):
-                    continue
-                grams = _grams(a).tolist()
-                common = np.array([len(having.get(g, ())) > COMMON for g in grams])
-                if common.any() and _ranges(common, least, similarity):
-                    tried = range(len(kept))
-                else:
-                    shared = Counter(k for g, c in zip(grams, common) if not c for k in having.get(g, ()))
-                    tried = sorted(k for k, n in shared.items() if n + common.sum() >= enough)
-                for k in tried:
-                    if kept[k][0] == doc:
-                        continue
-                    spans = duplicate_spans(a, kept[k][1], least, similarity)
-                    out += [(doc, first + s, first + e, kept[k][0]) for s, e in spans]
-                    if any(s <= pos - first < e for s, e in spans):
-                        break
-                else:
-                    for g in set(grams):
-                        having[g].append(len(kept))
-                    kept.append((doc, a))
+        for t in whole_groups(batches, ["hub"], rows=5_000):
+            starts = np.append(run_starts(t, ["hub"]), t.num_rows)
+            pos, doc, first = (t.column(c).to_numpy() for c in ("side", "doc_id", "first"))
+            flat, off = _tokens(t.column("tokens"))
+            out: list[tuple] = []
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                parts = [flat[off[k] : off[k + 1]] for k in range(i, j)]
+                led, common = _led(parts, enough)
+                kept: list[bool] = []
+                full: list[int] = []  # those kept whose common trigrams would do alone
+                for k, a in enumerate(parts):
+                    tried = sorted({*led.get(k, ()), *full}) if common[k] >= enough else led.get(k, ())
+                    found = False
+                    for m in tried:
+                        if kept[m] and doc[i + m] != doc[i + k]:
+                            spans = duplicate_spans(a, parts[m], least, similarity)
+                            out += [(int(doc[i + k]), int(first[i + k]) + s, int(first[i + k]) + e, int(doc[i + m])) for s, e in spans]
+                            if found := any(s <= pos[i + k] - first[i + k] < e for s, e in spans):
+                                break
+                    kept.append(not found)
+                    if not found and common[k] >= enough:
+                        full.append(k)
             if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64())], names=["doc_id", "start_word", "end_word", "of_doc"])
+                yield _span_batch(out)
 
     return run
 
@@ -300,53 +409,39 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
         raise ValueError("min_words must be 4 or more")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = id_text(docs)
-    of_key = Window.partitionBy("key")
-    by = of_key.orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = text.mapInArrow(_windows(min_words - 2), "key long, doc_id long, pos int, lo int, hi int")
-    rows = rows.select("*", *(F.first(c).over(by).alias(f"hub_{c}") for c in ("doc_id", "pos", "lo", "hi")), F.max("doc_id").over(of_key).alias("last_doc"))
-    rows = materialize(rows.where("last_doc <> hub_doc_id and (doc_id <> hub_doc_id or pos <> hub_pos)").drop("last_doc"), "windows")
-    _release(spark)
-    hub = rows.where("doc_id <> hub_doc_id")
-    asked = hub.groupBy("doc_id", "hub_doc_id", (F.col("pos") - F.col("hub_pos")).alias("offset")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi"))
-    rid = F.xxhash64("doc_id", "hub_doc_id", "offset")
+    text, kept = id_text(docs), Temporary(spark)
+    rows = kept.keep(text.mapInArrow(_windows(min_words - 2), "key long, doc_id long, pos int, lo int, hi int"), "windows")
+    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last").select(F.col("key").alias("k"), "hub", "n")
+    rows = kept.keep(rows.join(hubs, F.col("key") == F.col("k")).drop("k"), "shared")
+    kept.drop("windows")
+    theirs = rows.where("doc_id = hub").groupBy(F.col("key").alias("k")).agg(F.min("pos").alias("hub_pos"), F.min_by("lo", "pos").alias("hub_lo"), F.min_by("hi", "pos").alias("hub_hi"))
+    both = rows.where("doc_id <> hub").join(theirs, F.col("key") == F.col("k"))
+    pairs = both.groupBy("doc_id", "hub", (F.col("pos") - F.col("hub_pos")).alias("offset")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi"))
     low, high = (F.floor(F.col("hub_lo") / ROUND) * ROUND).cast("int"), (F.floor(F.col("hub_hi") / ROUND) * ROUND + ROUND - 1).cast("int")
-    both = asked.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("doc_id").alias("d"), rid.alias("rid"), F.lit(0).alias("side"), "lo", "hi"),
-                F.struct(F.col("hub_doc_id").alias("d"), rid.alias("rid"), F.lit(1).alias("side"), low.alias("lo"), high.alias("hi")),
-            )
-        ).alias("x")
-    ).select("x.*")
-    parts = _asked_segments(text, both)
-    kind = "doc_id long, start_word int, end_word int, of_doc long"
-    spans = materialize(parts.repartition(n, "rid").sortWithinPartitions("rid", "side").mapInArrow(_verified(min_words, similarity), kind).distinct(), "spans")
-    _release(spark)
+    pairs = kept.keep(pairs.select("doc_id", "hub", "lo", "hi", low.alias("blo"), high.alias("bhi")).distinct(), "pairs")
+    segment = pairs.groupBy("hub", "blo", "bhi").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("salts"))
+    hot = segment.where("salts > 1").select(F.col("hub").alias("h"), F.col("blo").alias("l"), F.col("bhi").alias("r"), "salts")
+    salted = pairs.join(hot, (F.col("hub") == F.col("h")) & (F.col("blo") == F.col("l")) & (F.col("bhi") == F.col("r")), "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "lo"), F.coalesce("salts", F.lit(1))).cast("int"))
+    asked = salted.select(F.col("doc_id").alias("d"), "lo", "hi", "hub", "blo", "bhi", F.col("salt").alias("s0"), F.col("salt").alias("s1"), F.lit(1).alias("side"))
+    asked = asked.unionByName(segment.select(F.col("hub").alias("d"), F.col("blo").alias("lo"), F.col("bhi").alias("hi"), "hub", "blo", "bhi", F.lit(0).alias("s0"), (F.col("salts") - 1).alias("s1"), F.lit(0).alias("side")))
+    parts = _asked_segments(text, asked).withColumn("salt", F.explode(F.sequence("s0", "s1"))).select(F.xxhash64("hub", "blo", "bhi", "salt").alias("gid"), "side", "doc_id", "first", "tokens")
+    spans = kept.keep(parts.repartition(n, "gid").sortWithinPartitions("gid", "side").mapInArrow(_verified(min_words, similarity), _SPAN).distinct(), "spans")
     of_pair = spans.groupBy(F.col("doc_id").alias("d"), F.col("of_doc").alias("o")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    left = rows.join(of_pair, (F.col("doc_id") == F.col("d")) & (F.col("hub_doc_id") == F.col("o")), "left")
-    left = left.where(~F.coalesce(F.exists("spans", lambda x: (x["start_word"] <= F.col("pos")) & (F.col("pos") < x["end_word"])), F.lit(False)))
-    left = left.select("key", "doc_id", "pos", "lo", "hi", F.min("doc_id").over(of_key).alias("least"), F.max("doc_id").over(of_key).alias("most")).where("least <> most")
-    left = materialize(left.select(F.col("doc_id").alias("d"), F.col("key").alias("rid"), F.col("pos").alias("side"), "lo", "hi"), "unconfirmed")
-    ids = left.select("d").distinct()
+    left = rows.where("n > 2").join(theirs, F.col("key") == F.col("k")).where("doc_id <> hub or pos <> hub_pos").select("key", "doc_id", "pos", "lo", "hi", "hub")
+    left = left.join(of_pair, (F.col("doc_id") == F.col("d")) & (F.col("hub") == F.col("o")), "left")
+    left = kept.keep(left.where(~F.coalesce(F.exists("spans", lambda x: (x["start_word"] <= F.col("pos")) & (F.col("pos") < x["end_word"])), F.lit(False))).select("key", "doc_id", "pos", "lo", "hi"), "left")
+    many = left.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("k")
+    left = kept.keep(left.join(many, F.col("key") == F.col("k"), "left_semi"), "unconfirmed")
+    kept.drop("shared", "pairs", "left")
+    ids = left.select(F.col("doc_id").alias("d")).distinct()
     if left.count() <= BROADCAST_IDS:
         text = text.join(F.broadcast(ids), text["doc_id"] == ids["d"], "left_semi")
-    rest = _asked_segments(text, left).repartition(n, "rid").sortWithinPartitions("rid", "doc_id", "side").mapInArrow(_rest(min_words, similarity), kind)
+    none = F.lit(0)
+    asked = left.select(F.col("doc_id").alias("d"), "lo", "hi", F.col("key").alias("hub"), none.alias("blo"), none.alias("bhi"), none.alias("s0"), none.alias("s1"), F.col("pos").alias("side"))
+    rest = _asked_segments(text, asked).select("hub", "side", "doc_id", "first", "tokens").repartition(n, "hub").sortWithinPartitions("hub", "doc_id", "side").mapInArrow(_rest(min_words, similarity), _SPAN)
     return spans.union(rest).groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", "of_doc")).alias("spans")).mapInArrow(_merged, "doc_id long, start_word int, end_word int, kept_in array<long>")
 
 
-def _asked_segments(text: DataFrame, asked: DataFrame) -> DataFrame:
-    """The segments that (d, rid, side, lo, hi) asks for."""
-    needs = asked.groupBy("d").agg(F.collect_list(F.struct("rid", "side", "lo", "hi")).alias("asked"))
-    return text.join(needs, text["doc_id"] == needs["d"]).select("doc_id", "text", "asked").mapInArrow(_segments, "rid long, side int, doc_id long, first int, tokens binary")
-
-
-def _release(spark) -> None:
-    """Let go of the shuffle files of jobs that have ended; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _without(text: str, spans: list[dict]) -> str | None:
     """text without word spans; null if no word is left."""
     raw = text.encode()
@@ -362,10 +457,10 @@ def _without(text: str, spans: list[dict]) -> str | None:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without the word spans in __lexiloom_spans, n_chars counted anew; rows that have none go through untouched."""
+    """Rows without the word spans in their last column, n_chars counted anew; rows that have none go through untouched."""
     for batch in batches:
-        spans = batch.column("__lexiloom_spans")
-        rest = batch.drop_columns(["__lexiloom_spans"])
+        spans = batch.column(batch.num_columns - 1)
+        rest = batch.select(range(batch.num_columns - 1))
         hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False) & batch.column("text").is_valid().to_numpy(zero_copy_only=False))
         if not len(hit):
             yield rest
@@ -389,6 +484,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     A document is dropped only if a cut leaves no word of it. All others, those with a null doc_id or
     text among them, stay as they are. The texts are shuffled once, to meet their spans.
     """
-    spans = repeated_passages(docs, min_words, similarity).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__lexiloom_spans")).withColumnRenamed("doc_id", "__lexiloom_id")
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__lexiloom_id"], "left").select(*[docs[c] for c in docs.columns], "__lexiloom_spans")
+    mine, id_ = free_name(docs, "spans"), free_name(docs, "id")
+    spans = repeated_passages(docs, min_words, similarity).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(mine))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans[id_], "left").select(*[docs[c] for c in docs.columns], spans[mine])
     return joined.mapInArrow(_cut, docs.schema)

@@ -228,11 +228,83 @@ def test_passages_whose_first_partner_is_no_copy(spark):
     phrase = r.integers(0, 1 << 31, 30).astype(np.uint32)
     segments = [np.concatenate([phrase, r.integers(0, 1 << 31, 60)]).astype(np.uint32) for _ in range(300)]
     segments[290], segments[299] = segments[3].copy(), np.concatenate([phrase, segments[7][30:55], r.integers(0, 1 << 31, 35)]).astype(np.uint32)
-    batch = pa.RecordBatch.from_pydict({"rid": [1] * 300, "side": [5] * 300, "doc_id": list(range(300)), "first": [0] * 300, "tokens": [s.tobytes() for s in segments]})
+    batch = pa.RecordBatch.from_pydict({"hub": [1] * 300, "side": [5] * 300, "doc_id": list(range(300)), "first": [0] * 300, "tokens": [s.tobytes() for s in segments]})
     got = [x for b in passages._rest(50, 0.7)(iter([batch])) for x in zip(*b.to_pydict().values())]
     assert got == [(290, 0, 90, 3), (299, 0, 55, 7)]
 
 
+def test_merged_windows():
+    key, doc = np.array([5, 5, 5, 7, 5]), np.array([0, 0, 0, 0, 1])
+    pos, lo, hi = np.array([9, 3, 40, 4, 3]), np.array([5, 0, 30, 0, 0]), np.array([20, 10, 50, 9, 10])
+    got = list(zip(*(x.tolist() for x in passages.merged_windows(key, doc, pos, lo, hi))))
+    assert got == [(5, 0, 3, 0, 20), (5, 0, 40, 30, 50), (7, 0, 4, 0, 9), (5, 1, 3, 0, 10)]
+
+
+def exact_runs(texts, n=50):
+    """Starts (doc, word) of the runs of n words that an earlier text has."""
+    seen, out = {}, []
+    for d, t in enumerate(texts):
+        w = t.lower().split()
+        for i in range(len(w) - n + 1):
+            run = tuple(w[i : i + n])
+            if seen.setdefault(run, d) < d:
+                out.append((d, i))
+    return out
+
+
+def covered(rows):
+    return {(r["doc_id"], i) for r in rows for i in range(r["start_word"], r["end_word"])}
+
+
+def test_passages_behind_a_worse_copy(spark):
+    """Z, A, B: A and B share 64 words; Z, which comes first, has them with words changed, so that the keys lead to it."""
+    r, texts = random.Random(8), []
+    for k in range(300):
+        shared = prose(64, 20000 + k).split()
+        worse = [r.choice(WORDS) if r.random() < r.choice((0.1, 0.2, 0.3)) else w for w in shared]
+        texts += [prose(40, 21000 + 3 * k + i) + " " + " ".join(x) + " " + prose(40, 23000 + 3 * k + i) for i, x in enumerate((worse, shared, shared))]
+    at = covered(passages.repeated_passages(table(spark, texts)).collect())
+    runs = exact_runs(texts)
+    assert len({d for d, _ in runs}) == 300
+    assert all(all((d, i + j) in at for j in range(50)) for d, i in runs)
+
+
+def test_passages_against_brute_force(spark):
+    """200 documents that share passages of 20 to 120 words, some edited.
+
+    Every exact run is found, but for a few words at its ends where an earlier near copy confirmed it; near copies by far most; nothing else.
+    """
+    r, pool = random.Random(9), [prose(n, 30000 + n) for n in range(20, 121, 4)]
+    texts, some = [], []
+    for d in range(200):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            parts.append(prose(r.randint(5, 80), 31000 + len(some)))
+            some.append(0)
+            w = r.choice(pool).split()
+            parts.append(" ".join(r.choice(WORDS) if r.random() < r.choice((0, 0, 0.04, 0.08)) else x for x in w))
+        texts.append(" ".join(parts))
+    rows = passages.repeated_passages(table(spark, texts)).collect()
+    at = covered(rows)
+    assert all(sum((d, i + j) in at for j in range(50)) >= 45 for d, i in exact_runs(texts))
+    hashes = [passages.words(*passages.text_buffer(pa.array([t.lower()])))[2] >> np.uint64(32) for t in texts]
+    right = set()
+    for d, a in enumerate(hashes):
+        for e in range(d):
+            for s, t in passages.duplicate_spans(a.astype(np.uint32), hashes[e].astype(np.uint32)):
+                right |= {(d, i) for i in range(s, t)}
+    assert len(right & at) >= 0.95 * len(right)
+    assert len(at - right) <= 0.01 * len(at)
+
+
+def test_hot_segment_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(passages, "ASKERS", 3)
+    shared = prose(70, 40000)
+    texts = [prose(20, 41000 + i) + " " + shared + " " + prose(20, 42000 + i) for i in range(40)]
+    rows = passages.repeated_passages(table(spark, texts)).collect()
+    assert {r["doc_id"] for r in rows} == set(range(1, 40)) and all(r["kept_in"] == [0] for r in rows)
+
+
 def test_digests(spark, odd):
     texts = ["Hello  World", "hello world ", "ﬁne", "FINE", "other", "", " "]
     got = {r["doc_id"]: (r["keeper"], r["copies"]) for r in digests.canonical_copies(table(spark, texts)).collect()}
