@@ -53,15 +53,39 @@ def grams(t):
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} - {()}
 
 
+def linked(texts, ids, least=0.5):
+    """{doc_id: (class_id, links)} by comparing all pairs."""
+    g = [grams(t) for t in texts]
+    parent, links = {d: d for d in ids}, dict.fromkeys(ids, 0)
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for (a, x), (b, y) in combinations(zip(ids, g), 2):
+        if x & y and len(x & y) / len(x | y) >= least - 1e-12:
+            links[a], links[b] = links[a] + 1, links[b] + 1
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: (find(d), links[d]) for d in ids}
+
+
 def test_jaccard_join(spark, near, odd):
-    g = [grams(t) for t in near]
-    want = {(a, b): len(g[a] & g[b]) / len(g[a] | g[b]) for a, b in combinations(range(len(near)), 2) if g[a] & g[b]}
-    want = {k: v for k, v in want.items() if v >= 0.5}
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.ngram_jaccard_join(table(spark, near)).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.ngram_jaccard_join(table(spark, near)).collect()}
+    assert got == linked(near, range(len(near))) and sum(x > 0 for _, x in got.values()) == 18
     kept = jaccard.keep_one(table(spark, near))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "__x", "tile"] and {r["doc_id"] for r in kept.collect()} == set(range(12))
-    assert {(r["doc_a"], r["doc_b"]) for r in jaccard.ngram_jaccard_join(odd).collect()} == {(7, 8)}
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.ngram_jaccard_join(odd).collect()}
+    assert got == {2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (7, 1), 8: (7, 1), 9: (9, 0)}
+
+
+def test_jaccard_join_of_a_large_group(spark, monkeypatch):
+    """A group of edited and exact copies in blocks of a few sets, against all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    r, base = random.Random(4), prose(90, 600)
+    texts = [" ".join("zz" + str(i) if r.random() < r.choice((0, 0.02, 0.06)) else w for w in base.split()) for i in range(60)] + [prose(40, 700 + i) for i in range(40)]
+    texts += texts[:10] + texts[:3]
+    ids = [1000 - i for i in range(len(texts))]
+    got = {x["doc_id"]: (x["class_id"], x["links"]) for x in jaccard.ngram_jaccard_join(table(spark, texts, ids)).collect()}
+    assert got == linked(texts, ids)
 
 
 def test_packing(spark, odd):
