@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
@@ -24,20 +24,27 @@ BROADCAST_ROWS = 200_000
 
 
 def integer_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Shares of a period in proportion to the weights, at least 1 each, by largest remainder; ties go by name."""
+    """Shares of a period in proportion to the weights, at least 1 each, by largest remainder; ties go by name.
+
+    What shares below 1 are raised by is taken from the others in proportion to what they have above 1. The
+    time is that of sorting the sources.
+    """
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     if len(weights) > period:
         raise ValueError("more sources than slots in a period")
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
+    above = sum(max(x - 1, 0.0) for x in exact.values())
+    room = period - len(exact)  # what is left when each has 1
+    exact = {s: 1 + (max(x - 1, 0.0) / above * room if above > 0 else room / len(exact)) for s, x in exact.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
+    short = period - sum(out.values())
     order = sorted(out, key=lambda s: (out[s] - exact[s], s))
-    i = 0
-    while (short := period - sum(out.values())) != 0:
-        s = order[i % len(order)] if short > 0 else max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -1e18, s))
-        out[s] += 1 if short > 0 else -1
-        i += 1
+    for s in order[: max(0, short)]:
+        out[s] += 1
+    for s in [s for s in reversed(order) if out[s] > 1][: max(0, -short)]:  # rounding of floats
+        out[s] -= 1
     return out
 
 
@@ -86,45 +93,51 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes:
     return shares, blocks, slots
 
 
-def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
-    """(slot, source, block, epoch, release, deadline, doc_id): the slots of the mix, with the documents of each block.
-
-    A source that runs out before the mix ends starts over (epoch 1, 2, ...), so every document of every
-    source with a weight is used at least once. weights: by source; sources without one are left out.
-    Without weights, shares of bytes to the power alpha. A null source counts as the source "", a null text
-    as 0 bytes, and its document is scheduled like any other; rows that repeat are scheduled each. Null
-    doc_ids fall in one block of their source. Ties of deadlines go by source name. carry: other columns
-    to keep, in place of doc_id. An empty table gives no rows.
-    """
+def _scheduled(docs: DataFrame, row: list[Column], weights, block_bytes: int, alpha: float, period: int, max_epochs: int | None) -> DataFrame:
+    """(slot, source, block, epoch, release, deadline, row): row is a struct, so its names can't meet those of the schedule."""
     spark: SparkSession = docs.sparkSession
     shares, blocks, slots = plan(docs, weights, block_bytes, alpha, period)
     period = sum(shares.values())
-    rows = [(s, blocks[s], shares[s]) for s in shares]
-    sources = spark.createDataFrame(rows, "__ll_source string, __ll_blocks long, __ll_share long")
+    sources = spark.createDataFrame([(s, blocks[s], shares[s]) for s in shares], "of string, blocks long, share long")
     table = [(s, i, slot) for slot, (s, i) in enumerate(pfair_period(shares))] if shares else []
-    slot_of = spark.createDataFrame(table, "__ll_slot_source string, __ll_nth long, __ll_at long")
+    slot_of = spark.createDataFrame(table, "slot_of string, nth long, at long")
     if len(table) <= BROADCAST_ROWS:  # a period has at least 8 slots for each source, so this bounds both
         sources, slot_of = F.broadcast(sources), F.broadcast(slot_of)
-    own = docs.select(_source(docs).alias("__ll_s"), docs["doc_id"].alias("__ll_id"), *([docs[c] for c in carry] if carry else []))
-    d = own.join(sources, F.col("__ll_s") == F.col("__ll_source"))
-    block = F.pmod(F.xxhash64(F.col("__ll_id").cast("long"), F.lit(SEED)), F.col("__ll_blocks"))
+    # null ids are spread over the blocks by their text
+    key = F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"), F.lit(SEED))).otherwise(F.xxhash64(docs["text"], F.lit(SEED)))
+    d = docs.select(_source(docs), key.alias("key"), F.struct(*row).alias("row")).join(sources, F.col("source") == F.col("of"))
     # runs of a block: its numbers in the endless sequence of its source are block, block + blocks, ...
-    last = F.ceil(F.lit(slots) / F.lit(max(period, 1)) * F.col("__ll_share") / F.col("__ll_blocks")).cast("long")
-    d = d.withColumn("__ll_block", block).withColumn("__ll_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    d = d.withColumn("__ll_n", F.col("__ll_block") + F.col("__ll_epoch") * F.col("__ll_blocks"))
-    d = d.withColumn("__ll_mod", F.pmod("__ll_n", "__ll_share"))
-    d = d.join(slot_of, (F.col("__ll_s") == F.col("__ll_slot_source")) & (F.col("__ll_mod") == F.col("__ll_nth")))
-    whole = ((F.col("__ll_n") - F.col("__ll_mod")) / F.col("__ll_share")).cast("long") * F.lit(period)
-    d = d.withColumn("__ll_slot", whole + F.col("__ll_at")).where(F.col("__ll_slot") < F.lit(slots))
-    release = whole + F.floor(F.col("__ll_mod") * F.lit(period) / F.col("__ll_share"))
-    due = whole + F.ceil((F.col("__ll_mod") + 1) * F.lit(period) / F.col("__ll_share"))
-    if carry:
-        return d.select("__ll_slot", *carry)
-    return d.select(F.col("__ll_slot").alias("slot"), F.col("__ll_s").alias("source"), F.col("__ll_block").alias("block"), F.col("__ll_epoch").cast("int").alias("epoch"), release.cast("long").alias("release"), due.cast("long").alias("deadline"), F.col("__ll_id").alias("doc_id"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, all columns, in files that follow its order of slots."""
-    out = pfair_mix(docs, carry=docs.columns, **options)
+    last = F.ceil(F.lit(slots) / F.lit(max(period, 1)) * F.col("share") / F.col("blocks")).cast("long")
+    last = last if max_epochs is None else F.least(last, F.lit(max_epochs - 1).cast("long"))
+    d = d.withColumn("block", F.pmod("key", "blocks")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    d = d.withColumn("n", F.col("block") + F.col("epoch") * F.col("blocks")).withColumn("mod", F.pmod("n", "share"))
+    d = d.join(slot_of, (F.col("source") == F.col("slot_of")) & (F.col("mod") == F.col("nth")))
+    whole = ((F.col("n") - F.col("mod")) / F.col("share")).cast("long") * F.lit(period)
+    d = d.withColumn("slot", whole + F.col("at")).where(F.col("slot") < F.lit(slots))
+    release = whole + F.floor(F.col("mod") * F.lit(period) / F.col("share"))
+    due = whole + F.ceil((F.col("mod") + 1) * F.lit(period) / F.col("share"))
+    return d.select("slot", "source", "block", F.col("epoch").cast("int").alias("epoch"), release.cast("long").alias("release"), due.cast("long").alias("deadline"), "row")
+
+
+def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, period: int = PERIOD, max_epochs: int | None = None) -> DataFrame:
+    """(slot, source, block, epoch, release, deadline, doc_id): the slots of the mix, with the documents of each block.
+
+    A source that runs out before the mix ends starts over (epoch 1, 2, ...), so every document of every
+    source with a weight is used at least once. max_epochs: how often a document is used at most; a source
+    that has been leaves its later slots empty, and only until then the weights hold. weights: by source;
+    sources without one are left out. Without weights, shares of bytes to the power alpha. A null source
+    counts as the source "", a null text as 0 bytes, and its document is scheduled like any other; rows that
+    repeat are scheduled each. Null doc_ids are spread over their source's blocks by text. Ties of deadlines
+    go by source name. An empty table gives no rows.
+    """
+    if max_epochs is not None and max_epochs < 1:
+        raise ValueError("max_epochs must be 1 or more")
+    out = _scheduled(docs, [docs["doc_id"].alias("doc_id")], weights, block_bytes, alpha, period, max_epochs)
+    return out.select("slot", "source", "block", "epoch", "release", "deadline", "row.doc_id")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, period: int = PERIOD, max_epochs: int | None = None) -> DataFrame:
+    """The documents of the mix, all columns whatever their names, in files that follow its order of slots."""
+    out = _scheduled(docs, [docs[c] for c in docs.columns], weights, block_bytes, alpha, period, max_epochs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "__ll_slot").sortWithinPartitions("__ll_slot").drop("__ll_slot")
+    return out.select("slot", "row").repartitionByRange(n, "slot").sortWithinPartitions("slot").select("row.*")
