@@ -26,15 +26,21 @@ SEPARATOR = 50256
 BLOCK_TOKENS = 4 << 20
 
 
-def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-    """The tokenizer of a file of ranks, without special tokens."""
+def encoder(ranks: bytes | None = None, pattern: str = PATTERN):
+    """The tokenizer of the lines of a file of ranks, that of VOCABULARY unless given, without special tokens."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = ranks if ranks is not None else _read(VOCABULARY)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _read(path: str) -> bytes:
+    """A file on the driver's disk, or of any URI."""
+    with open(path, "rb") if "://" not in path else _open(path, "r") as f:
+        return f.read()
+
+
 def _open(uri: str, mode: str):
     from pyarrow import fs
 
@@ -45,39 +51,45 @@ def _open(uri: str, mode: str):
     return where.open_output_stream(path)
 
 
-def _write(folder: str, vocabulary: str, pattern: str, separator: int, width: str):
+def _write(folder: str, ranks, pattern: str, separator: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        path, out, tokens, docs, coder = f"{folder}/{task.partitionId():08d}-{task.taskAttemptId()}.bin", None, 0, 0, None
+        path, out, docs, coder = f"{folder}/{task.partitionId():08d}-{task.taskAttemptId()}.bin", None, 0, None
         for big in batches:
             for batch in slices(big):
                 if out is None:
-                    out, coder = _open(path, "w"), encoder(vocabulary, pattern)
-                parts = []
+                    out, coder = _open(path, "w"), encoder(ranks.value, pattern)
+                parts, tokens = [], 0
                 for text in batch.column("text").to_pylist():
                     ids = coder.encode_ordinary(text) if text else []
                     ids.append(separator)
                     parts.append(np.array(ids, width))
                     tokens += len(ids)
-                docs += batch.num_rows
                 out.write(np.concatenate(parts).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([tokens], pa.int64()), pa.array([docs], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))], names=["file", "path", "tokens", "first", "doc_ids"])
+                docs += batch.num_rows
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([tokens], pa.int64()), pa.array([docs], pa.int64())], names=["file", "path", "tokens", "documents"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN, separator: int = SEPARATOR, width: str = "<u2") -> DataFrame:
-    """Write docs as flat token files; (file, path, tokens, documents) of each, tokens counting separators.
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN, separator: int = SEPARATOR, width: str = "<u2") -> tuple[DataFrame, DataFrame]:
+    """Write docs as flat token files. Returns (file, path, tokens, documents) of each, tokens counting separators, and the order of writing: (file, doc, doc_id).
 
     The rows of a task make one file, in their order. A null or empty text is a separator alone. A task that
-    is repeated writes a file of another name, and only the files that are returned count.
+    is repeated writes a file of another name, and only the files that are returned count. The vocabulary is
+    read by the driver and sent to the executors; its file has a fixed size.
     """
-    text = docs.select(docs["text"].alias("text"))
-    return materialize(text.mapInArrow(_write(folder, vocabulary, pattern, separator, width), "file int, path string, tokens long, documents long"), "tokens")
+    spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(_read(vocabulary))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    pieces = materialize(own.mapInArrow(_write(folder, ranks, pattern, separator, width), "file int, path string, tokens long, first long, doc_ids array<long>"), "tokens")
+    files = pieces.groupBy("file", "path").agg(F.sum("tokens").alias("tokens"), F.sum(F.size("doc_ids")).alias("documents"))
+    order = pieces.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("first") + F.col("i")).alias("doc"), "doc_id")
+    return files, order
 
 
 def _search(separator: int, width: str, block: int):
@@ -128,6 +140,14 @@ def separator_scan(files: DataFrame, separator: int = SEPARATOR, width: str = "<
 
 
 def document_token_counts(docs: DataFrame, **options) -> DataFrame:
-    """docs written as token files in the shared folder and scanned: see separator_scan."""
+    """(doc_id, tokens, file, start) of every row: docs written as token files in the shared folder and scanned.
+
+    tokens counts no separator; a null or empty text has 0; rows that repeat and null doc_ids give a row each;
+    an empty table gives none. See separator_scan; the files hold no ids of documents, so these are joined by
+    their number in the file.
+    """
     spark: SparkSession = docs.sparkSession
-    return separator_scan(write_token_files(docs, scratch(spark, "ids"), **options))
+    files, order = write_token_files(docs, scratch(spark, "ids"), **options)
+    found = separator_scan(files)
+    of = order.select(F.col("file").alias("of_file"), F.col("doc").alias("nth"), "doc_id")
+    return found.join(of, (F.col("file") == F.col("of_file")) & (F.col("doc") == F.col("nth"))).select("doc_id", "tokens", "file", "start")
