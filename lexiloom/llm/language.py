@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from ._base import slices, text_buffer
 
 HIDDEN = 8
-#: Bytes of a window; positions at its ends have context on one side only.
-WINDOW = 256
+#: Bytes of a window, and those before and after it that are read with it, so that the states at its ends know
+#: their surroundings; the labels of these bytes come from the windows that they are in.
+WINDOW, CONTEXT = 512, 32
 #: Windows that run side by side.
 LANES = 1024
 #: The classifier is fitted on windows of at most about so many documents of each language, whatever the table's size.
@@ -196,33 +197,36 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, window: int = TRAIN_W
     return fit([r["w"].encode()[:window] for r in rows], [r["lang"] for r in rows], **options)
 
 
-def _lanes(data: np.ndarray, off: np.ndarray, window: int, lanes: int):
-    """Cut documents into windows, sorted by falling length, in batches: (ids, lengths, starts, documents)."""
+def _lanes(data: np.ndarray, off: np.ndarray, window: int, lanes: int, context: int = CONTEXT):
+    """Cut documents into windows and read them with their context, sorted by falling length, in batches.
+
+    (ids, lengths, starts, documents, which steps of a lane are of its window).
+    """
     sizes = np.diff(off)
     parts = -(-sizes // window)
     doc = np.repeat(np.arange(len(sizes)), parts)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = off[doc] + nth * window
-    length = np.minimum(window, off[doc + 1] - start)
+    first = off[doc] + nth * window
+    last = np.minimum(first + window, off[doc + 1])
+    start = np.maximum(first - context, off[doc])
+    length = np.minimum(last + context, off[doc + 1]) - start
     order = np.argsort(-length, kind="stable")
     for a in range(0, len(order), lanes):
         o = order[a : a + lanes]
-        steps = np.arange(length[o[0]])
-        yield data[np.minimum(start[o][None, :] + steps[:, None], len(data) - 1)], length[o], start[o], doc[o]
+        at = start[o][None, :] + np.arange(length[o[0]])[:, None]
+        yield data[np.minimum(at, len(data) - 1)], length[o], start[o], doc[o], (at >= first[o]) & (at < last[o])
 
 
-def pooled(m: Model, data: np.ndarray, off: np.ndarray, window: int = WINDOW, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+def pooled(m: Model, data: np.ndarray, off: np.ndarray, window: int = WINDOW, lanes: int = LANES, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
     """(mean probabilities, shares of positions labelled), each (documents, languages); zero for empty texts."""
     n, k = len(off) - 1, len(m.languages)
     soft, hard = np.zeros((n, k)), np.zeros((n, k))
     if k and len(data):
-        for ids, length, _, doc in _lanes(data, off, window, lanes):
+        for ids, length, _, doc, mine in _lanes(data, off, window, lanes, context):
             p = probabilities(m, ids, length)
-            top = p == p.max(axis=1, keepdims=True)
-            whole = int((length == len(ids)).sum())  # the prefix without padding
+            p = np.where(mine[:, None, :], p, np.float32(0))
+            top = (p == p.max(axis=1, keepdims=True)) & mine[:, None, :]
             s, t = p.sum(axis=0, dtype=np.float32), top.sum(axis=0, dtype=np.float32)
-            for j in range(whole, len(length)):
-                s[:, j], t[:, j] = p[: length[j], :, j].sum(axis=0), top[: length[j], :, j].sum(axis=0)
             for c in range(k):
                 soft[:, c] += np.bincount(doc, s[c], n)
                 hard[:, c] += np.bincount(doc, t[c], n)
@@ -271,16 +275,17 @@ def identify(docs: DataFrame, model: Model | None = None, window: int = WINDOW,
 
 
 def accepted(docs: DataFrame, model: Model | None = None, window: int = WINDOW, least: float = LEAST) -> DataFrame:
-    """The rows of docs that identify accepts, all columns as they are."""
+    """The rows of docs that identify accepts, all columns as they are, whatever their names; null and empty texts go."""
     m = train(docs) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            at = big.schema.get_field_index("text")
-            for batch in slices(big.set_column(at, "text", pc_fill(big.column(at))).append_column("__ll_row", pa.array(np.arange(big.num_rows)))):
+            text, at = pc_fill(big.column("text")), 0
+            for batch in slices(pa.RecordBatch.from_arrays([text], names=["text"])):
                 soft, _ = pooled(m, *text_buffer(batch.column("text")), window)
                 ok = soft.max(axis=1) >= least if len(m.languages) else np.zeros(batch.num_rows, bool)
-                yield big.take(batch.column("__ll_row").filter(pa.array(ok)))
+                yield big.slice(at, batch.num_rows).filter(pa.array(ok))
+                at += batch.num_rows
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
@@ -296,10 +301,9 @@ def label_positions(docs: DataFrame, model: Model | None = None, window: int = W
                 if not len(data) or not m.languages:
                     continue
                 label = np.zeros(len(data), np.int64)
-                for ids, length, start, _ in _lanes(data, off, window, LANES):
+                for ids, length, start, _, mine in _lanes(data, off, window, LANES):
                     p = probabilities(m, ids, length).argmax(axis=1)
-                    inside = length[None, :] > np.arange(len(ids))[:, None]
-                    label[(start[None, :] + np.arange(len(ids))[:, None])[inside]] = p[inside]
+                    label[(start[None, :] + np.arange(len(ids))[:, None])[mine]] = p[mine]
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
                 cut = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]))
                 end = np.append(cut[1:], len(data))
