@@ -28,17 +28,24 @@ def op4_first_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redirects.redirect_decisions(_table(spark, sf_dir, "pages"))
+    return redirects.redirect_decisions(_table(spark, sf_dir, "pages"), hosts=redirects.host_rules(spark))
 
 
-def op5_blocked_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redirects.redirect_decisions(_table(spark, sf_dir, "pages"), block=redirects.host_patterns(redirects.BLOCKED_HOSTS, True), allow=redirects.host_patterns(redirects.ALLOWED_HOSTS, False))
+def op5_redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a fixture's redirects, as the tables hold none."""
+    pages = _table(spark, sf_dir, "pages")
+    return redirects.redirect_decisions(pages, redirects.fixture_redirects(pages), redirects.host_rules(spark))
 
 
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.risk_controlled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_cutoff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each stratum and rule its holdout, its safe cutoff if there is one, and how many good labels one needs."""
+    return rules.cutoff_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pfair_mix(_table(spark, sf_dir, "documents"))
 
@@ -55,5 +62,5 @@ def op10_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_karmarkar_karp_shards, op2_separator_scan, op3_ngram_jaccard_join, op4_first_fit_decreasing, op5_redirect_equivalence, op5_blocked_hosts, op6_risk_controlled_rules, op7_pfair_mix, op8_compact_windows, op9_canonical_digest, op10_byte_bigru)}
-SQL = {"op3_ngram_jaccard_join": jaccard.SQL, "op5_redirect_equivalence": redirects.SQL, "op6_risk_controlled_rules": rules.SQL, "op9_canonical_digest": digests.SQL}
+QUERIES = {f.__name__: f for f in (op1_karmarkar_karp_shards, op2_separator_scan, op3_ngram_jaccard_join, op4_first_fit_decreasing, op5_redirect_equivalence, op5_redirect_chains, op6_risk_controlled_rules, op6_cutoff_report, op7_pfair_mix, op8_compact_windows, op9_canonical_digest, op10_byte_bigru)}
+SQL = {"op3_ngram_jaccard_join": jaccard.SQL, "op5_redirect_equivalence": redirects.SQL, "op5_redirect_chains": redirects.CHAINS_SQL, "op6_risk_controlled_rules": rules.SQL, "op6_cutoff_report": rules.REPORT_SQL, "op9_canonical_digest": digests.SQL}

@@ -27,6 +27,7 @@ RULES: dict[str, tuple[str, str]] = {
     "capitals": ("length(regexp_replace(text, '[^\\\\p{Lu}]+', '')) / n", r"length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) / n"),
     "digits": ("length(regexp_replace(text, '[^0-9]+', '')) / n", "length(regexp_replace(text, '[^0-9]+', '', 'g')) / n"),
     "lines": ("1 - size(array_distinct(split(text, '\\n'))) / size(split(text, '\\n'))", r"1 - len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10)))"),
+    "repeats": ("1 - size(array_distinct(split(lower(text), ' '))) / size(split(text, ' '))", "1 - len(list_distinct(string_split(lower(text), ' '))) / len(string_split(text, ' '))"),
     "marks": ("length(regexp_replace(text, '[^!?]+', '')) / n", "length(regexp_replace(text, '[^!?]+', '', 'g')) / n"),
 }
 
@@ -57,24 +58,51 @@ def cutoffs(scores: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
 
     good and rejected count the stratum's holdout. Labels that repeat a doc_id count each; null ones don't.
     """
+    own = holdout_cutoffs(scores, labels, risk, delta).where("room >= 0")
+    return own.select("stratum", "rule", "cutoff", "good", "rejected")
+
+
+def holdout_cutoffs(scores: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, good, room, cutoff, rejected): room is how many of the good holdout a safe cutoff may reject, -1 if there are too few for any."""
     names = [c for c in scores.columns if c not in ("doc_id", "stratum")]
     good = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("good_id"))
     held = scores.join(good, scores["doc_id"] == good["good_id"]).select("stratum", F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("bucket")) for c in names])).alias("x")).select("stratum", "x.*")
     counts = held.groupBy("stratum", "rule", "bucket").agg(F.count(F.lit(1)).alias("here"))
     strata = scores.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    up = Window.partitionBy("stratum", "rule").orderBy(F.desc("bucket"))
+    up = Window.partitionBy("stratum", "rule").orderBy(F.desc("bucket"))  # at most BUCKETS + 1 rows
     tail = counts.select("stratum", "rule", "bucket", F.sum("here").over(up).alias("rejected"), F.sum("here").over(Window.partitionBy("stratum", "rule")).alias("good"))
-    totals = tail.groupBy("stratum", "rule").agg(F.first("good").alias("good")).crossJoin(strata)
+    totals = tail.groupBy("stratum", "rule").agg(F.first("good").alias("good")).crossJoin(strata)  # strata is one row
     r = risk / len(names)
 
     @F.pandas_udf("long")
     def room(n: pd.Series, strata: pd.Series) -> pd.Series:
         return pd.Series([most_rejections(int(a), r, delta / (int(b) * len(names))) for a, b in zip(n, strata)], dtype="int64")
 
-    totals = totals.select("stratum", "rule", "good", room("good", "strata").alias("room")).where("room >= 0")
+    totals = totals.select("stratum", "rule", "good", room("good", "strata").alias("room"))
     # a cutoff just above the first bucket from the top whose tail is too large; BUCKETS + 1 rejects nothing
     over = totals.join(tail.drop("good"), ["stratum", "rule"], "left").groupBy("stratum", "rule", "good", "room").agg(F.max(F.when(F.col("rejected") > F.col("room"), F.col("bucket"))).alias("b"), F.max(F.when(F.col("rejected") <= F.col("room"), F.col("rejected"))).alias("rejected"))
-    return over.select("stratum", "rule", (F.coalesce("b", F.lit(-1)) + 1).cast("int").alias("cutoff"), "good", F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected"))
+    return over.select("stratum", "rule", "good", "room", (F.coalesce("b", F.lit(-1)) + 1).cast("int").alias("cutoff"), F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected"))
+
+
+def labels_needed(risk: float, level: float) -> int:
+    """The fewest good labels with which a cutoff that rejects none of them is safe."""
+    return int(np.ceil(np.log(level) / np.log1p(-risk) - 1e-9))
+
+
+def cutoff_report(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, good, tail, cutoff, rejected, needed) of every stratum that has a good label, and rule.
+
+    tail: good labels of the highest score; needed: how many good labels a cutoff takes that rejects none; cutoff
+    and rejected are null where the stratum has fewer.
+    """
+    scores = rule_scores(docs)
+    own = holdout_cutoffs(scores, labels, risk, delta)
+    strata = scores.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))  # one row
+    good = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("good_id"))
+    tops = scores.join(good, scores["doc_id"] == good["good_id"]).select("stratum", F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("bucket")) for c in RULES])).alias("x")).groupBy("stratum", "x.rule").agg(F.max("x.bucket").alias("top"))
+    needed = F.ceil(F.log(F.lit(delta) / (F.col("strata") * len(RULES))) / F.lit(float(np.log1p(-risk / len(RULES)))) - 1e-9).cast("long")
+    safe = F.col("room") >= 0
+    return own.join(tops, ["stratum", "rule"]).crossJoin(strata).select("stratum", "rule", "good", F.col("top").alias("tail"), F.when(safe, F.col("cutoff")).alias("cutoff"), F.when(safe, F.col("rejected")).alias("rejected"), needed.alias("needed"))
 
 
 def risk_controlled(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -94,7 +122,7 @@ def risk_controlled(docs: DataFrame, labels: DataFrame, risk: float = RISK, delt
     return scores.join(wide, F.col("stratum") == F.col("limit_of"), "left").where(~fails).select("doc_id", "stratum", *RULES)
 
 
-def _sql() -> str:
+def _sql(report: bool) -> str:
     score = ", ".join(f"case when length(text) > 0 then cast(floor(({d}) * {BUCKETS}) as integer) else 0 end as {k}" for k, (_, d) in RULES.items())
     held = " union all ".join(f"select s.stratum, '{k}' as rule, {k} as bucket from s join labels l on l.doc_id = s.doc_id and l.quality = 1" for k in RULES)
     fails = " or ".join(f"coalesce({k} >= (select min(cutoff) from lim where lim.stratum = s.stratum and rule = '{k}'), false)" for k in RULES)
@@ -109,8 +137,13 @@ m as (select count(distinct stratum) * {len(RULES)} m from s),
 terms as (select *, lgamma(n + 1) lf from tail),
 p as (select stratum, rule, bucket, list_sum(list_transform(range(0, k + 1), lambda i: exp(lf - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({r}::double) + (n - i) * ln(1 - {r}::double)))) cdf, pow(1 - {r}::double, n) none from terms),
 lim as (select stratum, rule, coalesce(max(case when cdf > {DELTA} / m then bucket end), -1) + 1 as cutoff from p, m where none <= {DELTA} / m group by 1, 2)
+""" + (f"""
+select c.stratum, c.rule, cast(sum(here) as bigint) as good, max(bucket) as tail, any_value(lim.cutoff) as cutoff,
+  case when any_value(lim.cutoff) is not null then cast(coalesce(sum(case when bucket >= lim.cutoff then here end), 0) as bigint) end as rejected, cast(ceil(ln({DELTA} / any_value(m)) / ln(1 - {r}::double) - 1e-9) as bigint) as needed
+from c left join lim on lim.stratum = c.stratum and lim.rule = c.rule, m group by 1, 2
+""" if report else f"""
 select doc_id, stratum, {", ".join(RULES)} from s where not ({fails})
-"""
+""")
 
 
-SQL = _sql()
+SQL, REPORT_SQL = _sql(False), _sql(True)
