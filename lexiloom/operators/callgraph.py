@@ -1,11 +1,16 @@
 """The call graph: neighbours, bounded traversals, impact, paths and cycles, as joins of frontiers with edges.
 
-Frontiers and edges are joined by their keys, each level is written to the shared folder, and no level
-is collected; the number of jobs grows with the depth, not with the data.
+A stored graph of at most LOCAL_EDGES edges, which its count shows before anything is moved, is held by the
+driver as arrays, so that a query of many steps is no series of small jobs. In a larger one frontiers and
+edges are joined by their keys, each level is written to the shared folder, and no level is collected; the
+number of jobs grows with the depth, not with the data. Both ways give the same results.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +18,99 @@ from lexiloom.durable import materialize
 from lexiloom.functions import extract_module, risk_score, short_name
 
 
+#: Up to so many edges (some 100 bytes each) a stored graph is walked by the driver.
+LOCAL_EDGES = 1_000_000
+
+
+class _Local:
+    """A small graph as arrays: for each direction the neighbours of node i are ends[at[i]:at[i + 1]]."""
+
+    def __init__(self, edges: DataFrame):
+        t = edges.select("caller", "callee").toArrow()
+        names = np.concatenate([t.column(c).to_numpy(zero_copy_only=False).astype(object) for c in ("caller", "callee")])
+        self.names, codes = np.unique(names.astype(str), return_inverse=True)
+        self.code = {x: i for i, x in enumerate(self.names.tolist())}
+        caller, callee = codes[: t.num_rows], codes[t.num_rows :]
+        self.ways = {"callees": self._way(caller, callee), "callers": self._way(callee, caller)}
+
+    def _way(self, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((dst, src))
+        return np.searchsorted(src[order], np.arange(len(self.names) + 1)), dst[order]
+
+    def near(self, nodes: np.ndarray, direction: str) -> np.ndarray:
+        """The distinct neighbours of some nodes."""
+        at, ends = self.ways[direction]
+        sizes = at[nodes + 1] - at[nodes]
+        first = np.repeat(at[nodes] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(nodes) else at[:0]
+        return np.unique(ends[first + np.arange(len(first))])
+
+    def matches(self, text: str) -> np.ndarray:
+        if text in self.code:
+            return np.array([self.code[text]])
+        short = [i for i, x in enumerate(self.names.tolist()) if x.rpartition("::")[2] == text]
+        return np.array(short or [i for i, x in enumerate(self.names.tolist()) if text in x], np.int64)
+
+    def levels(self, start: str, depth: int, direction: str) -> list[np.ndarray]:
+        """The nodes of each level from 1 on, without the start; callers need its exact name."""
+        own = self.code.get(start, -1)
+        now = np.array([own] if own >= 0 else [], np.int64) if direction == "callers" else self.matches(start)
+        seen = np.zeros(len(self.names), bool)
+        if own >= 0:
+            seen[own] = True
+        out = []
+        while len(out) < depth and len(now := self.near(now, direction)):
+            now = now[~seen[now]]
+            if not len(now):
+                break
+            seen[now] = True
+            out.append(now)
+        return out
+
+    def reaches_itself(self, target: str) -> bool:
+        if target not in self.code:
+            return False
+        own, now = self.code[target], self.matches(target)
+        seen = np.zeros(len(self.names), bool)
+        while len(now := self.near(now, "callees")):
+            now = now[~seen[now]]
+            seen[now] = True
+            if seen[own]:
+                return True
+        return False
+
+    def path(self, a: str, b: str) -> list[str] | None:
+        """By search from both ends; of the shortest ways the one whose predecessors are least, from the end back."""
+        if not len(x := self.matches(a)) or not len(y := self.matches(b)):
+            return None
+        x, y = int(x.min()), int(y.min())  # codes follow the order of names
+        both = lambda n: np.union1d(self.near(n, "callers"), self.near(n, "callees"))
+        far = [np.full(len(self.names), -1), np.full(len(self.names), -1)]
+        rim, steps = [np.array([x]), np.array([y])], [0, 0]
+        far[0][x], far[1][y] = 0, 0
+        while not ((far[0] >= 0) & (far[1] >= 0)).any():
+            k = 0 if len(rim[0]) <= len(rim[1]) else 1
+            rim[k] = (n := both(rim[k]))[far[k][n] < 0]
+            if not len(rim[k]):
+                return None
+            steps[k] += 1
+            far[k][rim[k]] = steps[k]
+        total = int((far[0] + far[1])[(far[0] >= 0) & (far[1] >= 0)].min())
+        while steps[0] < total:  # distances from a, which the way back needs
+            rim[0] = (n := both(rim[0]))[far[0][n] < 0]
+            steps[0] += 1
+            far[0][rim[0]] = steps[0]
+        way = [y]
+        for level in range(total - 1, -1, -1):
+            n = both(np.array([way[-1]]))
+            way.append(int(n[far[0][n] == level].min()))
+        return [self.names[i] for i in reversed(way)]
+
+
 class CallGraph:
     """edges: any table of (caller, callee); rows that repeat count once, null ends not at all."""
 
+    local: _Local | None = None
+
     def __init__(self, edges: DataFrame, distinct: bool = False):
         self.edges = edges if distinct else edges.select("caller", "callee").where("caller is not null and callee is not null").distinct()
         self.nodes = self.edges.select(F.explode(F.array("caller", "callee")).alias("name")).distinct().withColumn("short_name", short_name("name"))
@@ -23,7 +118,22 @@ class CallGraph:
     @classmethod
     def stored(cls, edges: DataFrame) -> CallGraph:
         """A graph whose distinct edges are written once, for queries of several steps."""
-        return cls(materialize(cls(edges).edges, "edges"), distinct=True)
+        g = cls(materialize(cls(edges).edges, "edges"), distinct=True)
+        if g.edges.count() <= LOCAL_EDGES:
+            g.local = _Local(g.edges)
+        return g
+
+    def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.edges.sparkSession.createDataFrame(rows, schema)
+
+    @cached_property
+    def most_called(self) -> str | None:
+        """The node with the most callers, the first by name of several."""
+        if self.local is not None:
+            counts = np.diff(self.local.ways["callers"][0])
+            return str(self.local.names[int(counts.argmax())]) if len(counts) else None
+        top = self.edges.groupBy("callee").count().orderBy(F.desc("count"), "callee").first()
+        return top["callee"] if top else None
 
     def short_names(self) -> DataFrame:
         return self.nodes.groupBy("short_name").agg(F.array_sort(F.collect_list("name")).alias("names"))
@@ -36,6 +146,9 @@ class CallGraph:
         return ranked.join(F.broadcast(best), F.col("tier") == F.col("best")).select("name", "tier")
 
     def _near(self, text: str, at: str, to: str) -> DataFrame:
+        if self.local is not None:
+            found = self.local.near(self.local.matches(text), to + "s")
+            return self._rows([(x,) for x in self.local.names[found].tolist()], "name string")
         return self.edges.join(self.matches(text).select(F.col("name").alias("__m")), F.col(at) == F.col("__m"), "left_semi").select(F.col(to).alias("name")).distinct()
 
     def callers(self, text: str) -> DataFrame:
@@ -46,6 +159,9 @@ class CallGraph:
 
     def transitive(self, start: str, depth: int = 3, direction: str = "callers") -> DataFrame:
         """(name, depth) reached in 1 to depth steps, at the least depth; the start itself isn't in it. Callers need the exact name, callees take partial ones."""
+        if self.local is not None:
+            levels = self.local.levels(start, depth, direction)
+            return self._rows([(x, k) for k, level in enumerate(levels, 1) for x in self.local.names[level].tolist()], "name string, depth int")
         at, to = ("callee", "caller") if direction == "callers" else ("caller", "callee")
         first = self.edges.where(F.col(at) == start).select(F.col(to).alias("name")).distinct() if direction == "callers" else self.callees(start)
         seen = materialize(first.where(F.col("name") != start).withColumn("depth", F.lit(1)), "walk") if depth > 0 else first.limit(0).withColumn("depth", F.lit(1))
@@ -61,6 +177,8 @@ class CallGraph:
 
     def has_cycle(self, target: str) -> bool:
         """Whether the target, by its exact name, can reach itself."""
+        if self.local is not None:
+            return self.local.reaches_itself(target)
         frontier = seen = materialize(self.callees(target), "cycle")
         while True:
             if not seen.where(F.col("name") == target).isEmpty():
@@ -93,6 +211,9 @@ class CallGraph:
 
         Level by level from a; of the ways to a node the smallest predecessor is kept, so no path is enumerated.
         """
+        if self.local is not None:
+            way = self.local.path(a, b)
+            return self._rows([(way, len(way) - 1)] if way else [], "path array<string>, hops int")
         spark = self.edges.sparkSession
         ends = [r["name"] if (r := self.matches(x).orderBy("name").first()) else None for x in (a, b)]
         schema = "path array<string>, hops int"
@@ -116,6 +237,8 @@ class CallGraph:
 
 def enriched(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """names with the kind, file and line of one symbol of each qualified or short name, if there is any."""
+    wanted = names.select(F.col("name").alias("wanted")).distinct()
     keyed = symbols.select(F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("qualified_name").alias("key")), F.struct(F.lit(1).alias("rank"), F.col("name").alias("key")))).alias("k"), "id", "kind", "file_path", "start_line").select("k.*", "id", "kind", "file_path", "start_line")
+    keyed = keyed.join(wanted, F.col("key") == F.col("wanted"), "left_semi")
     first = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))).where("rn = 1")
     return names.join(first, names["name"] == first["key"], "left").select(names["name"], "kind", "file_path", "start_line")
