@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 from dataclasses import dataclass
 
@@ -14,11 +13,15 @@ from pyspark.sql import functions as F
 from lexiloom import sources
 from lexiloom.durable import materialize
 from lexiloom.extract import parse_files, relations
+from lexiloom.functions import kind_priority
 from lexiloom.operators import changes, deps, export, search, symbols, workspace
 from lexiloom.operators.callgraph import CallGraph, enriched
 from lexiloom.schemas import INDEX_VERSION
 
 TABLES = ("symbols", "call_edges", "imports", "identifiers", "files")
+#: Made of symbols for stored search: postings sorted by term, and the length of each field.
+SEARCH_TABLES = ("postings", "lengths")
+SEARCHED = ["name", "qualified_name", "signature", "doc_comment"]
 
 
 @dataclass
@@ -32,29 +35,80 @@ class Index:
         except KeyError:
             raise AttributeError(name) from None
 
+    def with_search(self) -> Index:
+        """With the tables of stored search, made anew from symbols."""
+        tokens = materialize(search.tokenized(self.symbols, "id", SEARCHED), "tokens")
+        made = {"postings": search.postings(tokens), "lengths": search.lengths(tokens)}
+        return Index({**self.tables, **{k: materialize(v, k) for k, v in made.items()}}, self.meta)
+
     def write(self, path: str) -> None:
-        """To a folder, through a temporary one beside it; meta.json comes last."""
-        tmp = f"{path}.tmp"
-        shutil.rmtree(tmp, ignore_errors=True)
+        """To a folder of any file system that Spark writes: a new version beside the old one, then the name of it in CURRENT.
+
+        A reader finds the old version or the new one, never a part. The version before the old one is removed.
+        """
+        spark = next(iter(self.tables.values())).sparkSession
+        store = _Store(spark, path)
+        version = f"v{time.time_ns()}"
         for name, df in self.tables.items():
-            out = df.repartitionByRange("name").sortWithinPartitions("name") if name == "identifiers" else df
-            out.write.parquet(f"file://{os.path.abspath(tmp)}/{name}")
-        with open(f"{tmp}/meta.json", "w") as f:
-            json.dump(self.meta, f)
-        shutil.rmtree(path, ignore_errors=True)
-        os.rename(tmp, path)
+            by = {"identifiers": "name", "postings": "term"}.get(name)
+            out = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+            out.write.parquet(f"{store.path}/{version}/{name}")
+        store.put(f"{version}/meta.json", json.dumps(self.meta))
+        before = store.get("CURRENT")
+        store.put("CURRENT", version)
+        for old in store.folders("v"):
+            if old not in (version, before):
+                store.remove(old)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index | None:
         """None if there is no index of this version."""
-        try:
-            with open(f"{path}/meta.json") as f:
-                meta = json.load(f)
-        except OSError:
-            return None
+        store = _Store(spark, path)
+        version = store.get("CURRENT")
+        meta = json.loads(store.get(f"{version}/meta.json") or "{}") if version else {}
         if meta.get("version") != INDEX_VERSION:
             return None
-        return Index({t: spark.read.parquet(f"file://{os.path.abspath(path)}/{t}") for t in TABLES}, meta)
+        there = store.folders("", version)
+        return Index({t: spark.read.parquet(f"{store.path}/{version}/{t}") for t in (*TABLES, *SEARCH_TABLES) if t in there}, meta)
+
+
+class _Store:
+    """Small files and folders below a path, by Hadoop's file systems; a path without a scheme is a local one in a local session."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/") if "://" in path or not spark.sparkContext.master.startswith("local") else "file://" + os.path.abspath(path)
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def put(self, name: str, text: str) -> None:
+        """Written beside and renamed, so that no reader sees a part of it."""
+        tmp = self._at(f"{name}.tmp")
+        out = self.fs.create(tmp, True)
+        out.write(text.encode())
+        out.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri())
+        kind = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context.rename(tmp, self._at(name), options)
+
+    def get(self, name: str) -> str | None:
+        if not self.fs.exists(self._at(name)):
+            return None
+        f = self.fs.open(self._at(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(f)).decode()
+        finally:
+            f.close()
+
+    def folders(self, start: str, below: str = "") -> list[str]:
+        return [n for x in self.fs.listStatus(self._at(below)) if x.isDirectory() and (n := x.getPath().getName()).startswith(start)]
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
 
 
 def build_index(spark: SparkSession, root: str, max_files: int = sources.MAX_FILES, previous: Index | None = None, respect_gitignore: bool = True, ignore: list[str] | None = None) -> Index:
@@ -80,11 +134,12 @@ def build_index(spark: SparkSession, root: str, max_files: int = sources.MAX_FIL
         for t in TABLES[:-1]:
             new[t] = new[t].unionByName(previous.tables[t].join(kept.select("file_path"), "file_path", "left_semi"), allowMissingColumns=True)
         new["files"] = new["files"].unionByName(kept)
-    reasons = read.select("file_path", "read_error").where("read_error is not null").withColumnRenamed("read_error", "reason").unionByName(parsed.where("status = 'failed' and reason <> 'parse: no content'").select("file_path", "reason")).orderBy("file_path")
+    reasons = read.select("file_path", "read_error").where("read_error is not null").withColumnRenamed("read_error", "reason").unionByName(parsed.where("status <> 'parsed' and reason <> 'parse: no content'").select("file_path", "reason")).orderBy("file_path")
     failures = [r.asDict() for r in reasons.limit(50).collect()]
     done = ok.count()
-    meta = {"root": root, "version": INDEX_VERSION, "indexed_at": int(time.time()), "scanned": found.count(), "parsed": done, "skipped": skipped, "truncated": truncated, "failed": reasons.count(), "failures": failures}
-    return Index({k: materialize(v, k) for k, v in new.items()}, meta)
+    degraded = parsed.where("status = 'degraded'").count()
+    meta = {"root": root, "version": INDEX_VERSION, "indexed_at": int(time.time()), "scanned": found.count(), "parsed": done, "skipped": skipped, "truncated": truncated, "degraded": degraded, "failed": reasons.count() - degraded, "failures": failures}
+    return Index({k: materialize(v, k) for k, v in new.items()}, meta).with_search()
 
 
 def merge_roots(indexes: dict[str, tuple[str, Index]]) -> Index:
@@ -104,10 +159,16 @@ class Engine:
 
     def __init__(self, index: Index):
         self.index = index
-        self.graph = CallGraph(index.call_edges)
+        self.graph = CallGraph.stored(index.call_edges)
         self.edges = deps.deps_edges(index.imports, index.files)
 
     def search(self, query: str, limit: int = 20, offset: int = 0, kind: str | None = None, path: str | None = None) -> DataFrame:
+        words = search.query_tokens(query)
+        if "postings" in self.index.tables and words and all(len(w) == 1 for w in words) and not kind and not path:
+            scores = search.bm25_lookup(self.index.postings, self.index.lengths, query, limit + offset)
+            if not (scores := materialize(scores, "found")).isEmpty():
+                page = self.index.symbols.join(scores, "id").orderBy(F.desc("score"), kind_priority("kind"), "name", "id")
+                return (page.offset(offset) if offset else page).limit(limit).select("id", "name", "kind", "file_path", "signature", "score")
         return search.search(self.index.symbols, query, limit, offset, kind, path)
 
     def refs(self, name: str, kind: str | None = None, scope: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -70,11 +70,28 @@ _STATUS = [T.StructField("status", T.StringType()), T.StructField("reason", T.St
 _SCHEMA = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("symbols", T.ArrayType(SYMBOL)), T.StructField("call_edges", T.ArrayType(EDGE)), T.StructField("imports", T.ArrayType(IMPORT)), T.StructField("identifiers", T.ArrayType(IDENTIFIER)), *_STATUS])
 
 
+_DEFINITION = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_]\w*)", re.M)
+
+
+def degraded(path: str, text: str) -> list[dict]:
+    """Symbols of a file that its extractor can't parse, by its lines alone; for Python, whose extractor needs the whole file to be right."""
+    if not path.endswith(".py"):
+        return []
+    out = []
+    for m in _DEFINITION.finditer(text):
+        line = text.count("\n", 0, m.start()) + 1
+        kind = "class" if m[2] == "class" else "method" if m[1] else "function"
+        head = text[m.start() : text.find("\n", m.start()) if "\n" in text[m.start() :] else len(text)].strip()
+        out.append({"id": f"{path}::{m[3]}#{kind}", "name": m[3], "qualified_name": m[3], "kind": kind, "file_path": path, "span": {"start_line": line, "end_line": line, "start_col": len(m[1]), "end_col": len(m[1]) + len(head)}, "signature": head, "doc_comment": None, "visibility": "Private" if m[3].startswith("_") else "Public", "parent": None, "children": []})
+    return out
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """(file_path, symbols, call_edges, imports, identifiers, status, reason) of a table of (file_path, content).
 
-    content may be text or bytes. A file that fails to parse has status failed, its reason and no rows; null
-    content is failed too. Each file is parsed once; write the result before exploding it several times.
+    content may be text or bytes. Where a file's own extractor fails, what a tolerant scan finds of its symbols
+    is kept, status is degraded and the other relations are empty; if that finds none either, status is
+    failed, with no rows. Null content is failed too. Each file is parsed once; write the result before exploding it several times.
     """
     custom = {k: v for k, v in REGISTRY.items()}
 
@@ -89,7 +106,8 @@ def parse_files(files: DataFrame) -> DataFrame:
                     text = bytes(content).decode("utf-8", "replace") if isinstance(content, bytes | bytearray | memoryview) else content
                     rows.append((path, *(extract_all(path, text)[k] for k in ("symbols", "call_edges", "imports", "identifiers")), "parsed", None))
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, [], [], [], [], "failed", f"parse: {e}"))
+                    found = degraded(path, text) if content is not None else []
+                    rows.append((path, found, [], [], [], "degraded" if found else "failed", f"parse: {e}"))
             yield pd.DataFrame(rows, columns=[f.name for f in _SCHEMA.fields])
 
     return files.select("file_path", "content").mapInPandas(run, _SCHEMA)

@@ -117,6 +117,17 @@ def content_hash(content) -> Column:
     return F.substring(F.sha2(_c(content), 256), 1, 16)
 
 
+def root_id(path) -> Column:
+    """Of a root's absolute path."""
+    return F.substring(F.sha2(_c(path), 256), 1, 8)
+
+
+def root_label(path) -> Column:
+    """The last folder of a root's path, its id where there is none."""
+    name = F.substring_index(F.rtrim(_c(path), F.lit("/")), "/", -1)
+    return F.when(name == "", root_id(path)).otherwise(name)
+
+
 def workspace_hash(hashes) -> Column:
     """Of an array of root hashes, in any order."""
     return F.substring(F.sha2(F.array_join(F.array_sort(_c(hashes)), ""), 256), 1, 16)

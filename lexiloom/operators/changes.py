@@ -37,6 +37,12 @@ def diff_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+def by_file(changes: DataFrame) -> DataFrame:
+    """(file, n, names): the changes of each file, which its symbols bound, in the order of their lines."""
+    each = F.array_sort(F.collect_list(F.struct("start_line", "name", "change")))
+    return changes.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.transform(each, lambda x: F.concat(x["change"], F.lit(" "), x["name"])).alias("names"))
+
+
 def blame_lines(raw: DataFrame) -> DataFrame:
     """(file, line, commit, author, timestamp, date, summary, content) of porcelain blame output, one row for each content line.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.durable import materialize
 from lexiloom.functions import code_tokens, fuzzy_match, kind_priority
 from lexiloom.schemas import KIND_ALIASES
 
@@ -63,13 +64,21 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "field", "len", F.explode("tokens").alias("term")).groupBy("field", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def token_stats(tokens: DataFrame) -> DataFrame:
-    """(term, df, cf): documents with a term and its occurrences."""
-    return postings(tokens).groupBy("term").agg(F.countDistinct("id").alias("df"), F.sum("tf").alias("cf"))
+def token_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(term, df, cf): documents, one in each row, with a term in any of the fields, and its occurrences; one exchange, combined before it."""
+    tokens = F.concat(*[F.coalesce(code_tokens(F.col(f).cast("string")), F.array().cast("array<string>")) for f in fields])
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    each = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    return docs.select(tokens.alias("tokens")).select(F.explode(F.concat(once, each)).alias("x")).groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.cf").alias("cf"))
 
 
-def _scores(tokens: DataFrame, hits: DataFrame) -> DataFrame:
-    stats = tokens.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+def lengths(tokens: DataFrame) -> DataFrame:
+    """(id, field, len), the documents of a stored index beside its postings."""
+    return tokens.select("id", "field", "len")
+
+
+def _scores(hits: DataFrame, lens: DataFrame) -> DataFrame:
+    stats = lens.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     x = hits.join(df, ["field", "term"]).join(stats, "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -81,15 +90,22 @@ def _equals(word: str):
     return lambda t: t == word
 
 
-def _occurrences(tokens: DataFrame, words: list[list[str]]) -> DataFrame:
-    """(id, field, len, term, tf) of the query's words; a word of several tokens counts as a phrase of adjacent ones."""
+def _counted(tokens: DataFrame, words: list[list[str]]) -> DataFrame:
+    """(id, field, len, found): of each document the query's words that it has, with their number; a word of several tokens counts as a phrase of adjacent ones."""
     joined = F.concat(F.lit("  "), F.array_join("tokens", "  "), F.lit("  "))
     each = []
     for w in {" ".join(w): w for w in words}.values():
         term = "  ".join(w)
         n = F.size(F.filter("tokens", _equals(w[0]))) if len(w) == 1 else F.floor((F.length(joined) - F.length(F.replace(joined, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("int")
         each.append(F.struct(F.lit(" ".join(w)).alias("term"), n.alias("tf")))
-    return tokens.select("id", "field", "len", F.explode(F.array(*each)).alias("x")).select("id", "field", "len", "x.*").where("tf > 0")
+    return tokens.select("id", "field", "len", F.filter(F.array(*each), lambda x: x["tf"] > 0).alias("found"))
+
+
+def _scored(tokens: DataFrame, words: list[list[str]]) -> DataFrame | None:
+    """Scores of the documents with any of the words; None if there is none. Tokens are made once, for a table without them."""
+    counted = materialize(_counted(tokens, words), "counted")
+    hits = counted.select("id", "field", "len", F.explode("found").alias("x")).select("id", "field", "len", "x.*")
+    return None if hits.isEmpty() else _scores(hits, counted)
 
 
 def bm25_search(tokens: DataFrame, query: str, limit: int = 20, fuzzy: bool = True) -> DataFrame:
@@ -99,19 +115,17 @@ def bm25_search(tokens: DataFrame, query: str, limit: int = 20, fuzzy: bool = Tr
     count instead, each such term with a constant score of 1 (fuzzy).
     """
     words = query_tokens(query)
-    exact = _scores(tokens, _occurrences(tokens, words)) if words else tokens.select("id", F.lit(0.0).alias("score")).limit(0)
-    found = exact.withColumn("tier", F.lit(0))
-    if fuzzy and words:
-        loose = fuzzy_search(tokens, query, limit).withColumn("tier", F.lit(1))
-        found = found.unionByName(loose)
-        found = _first_tier(found)
-    return found.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+    found = _scored(tokens, words) if words else None
+    if found is None:
+        return fuzzy_search(tokens, query, limit) if fuzzy and words else tokens.select("id", F.lit(0.0).alias("score")).limit(0)
+    return found.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def _first_tier(found: DataFrame) -> DataFrame:
-    """Rows of the lowest tier that has any; the tier comes from an aggregate, so no partition sees all rows."""
-    best = found.agg(F.min("tier").alias("best"))
-    return found.join(F.broadcast(best), F.col("tier") == F.col("best"))  # best is one row
+def bm25_lookup(stored: DataFrame, lens: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(id, score) as by bm25_search, of single words, from stored postings and lengths: only the words' postings are read."""
+    words = sorted({w[0] for w in query_tokens(query) if len(w) == 1})
+    hits = stored.where(F.col("term").isin(words))
+    return _scores(hits, lens).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def fuzzy_search(tokens: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -134,9 +148,8 @@ def phrase_search(tokens: DataFrame, words: list[str]) -> DataFrame:
 def search(symbols: DataFrame, query: str, limit: int = 20, offset: int = 0, kind: str | None = None, path: str | None = None) -> DataFrame:
     """Symbols ranked by BM25 over name, qualified name, signature and doc comment, filters first; if none match, those of substring_search with score 0."""
     kept = path_filter(kind_filter(symbols, kind), path)
-    scores = bm25_search(tokenized(kept, "id", ["name", "qualified_name", "signature", "doc_comment"]), query, limit + offset)
-    plain = substring_search(kept, query, limit + offset).select("id", F.lit(0.0).alias("score"))
-    both = _first_tier(scores.withColumn("tier", F.lit(0)).unionByName(plain.withColumn("tier", F.lit(1))))
-    page = both.join(symbols, "id").orderBy(F.desc("score"), kind_priority("kind"), "name", "id")
+    scores = materialize(bm25_search(tokenized(kept, "id", ["name", "qualified_name", "signature", "doc_comment"]), query, limit + offset), "found")
+    if scores.isEmpty():
+        scores = substring_search(kept, query, limit + offset).select("id", F.lit(0.0).alias("score"))
+    page = symbols.join(scores, "id").orderBy(F.desc("score"), kind_priority("kind"), "name", "id")
     return (page.offset(offset) if offset else page).limit(limit).select("id", "name", "kind", "file_path", "signature", "score")
-

@@ -69,6 +69,12 @@ def stats_totals(symbols: DataFrame) -> DataFrame:
     return symbols.agg(F.countDistinct("file_path").alias("total_files"), F.count(F.lit(1)).alias("total_symbols"))
 
 
+def count_maps(symbols: DataFrame) -> DataFrame:
+    """One row of maps by_language and by_kind, from names to numbers of symbols; languages and kinds are few."""
+    of = lambda key, name: symbols.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(name))
+    return of(detect_language("file_path"), "by_language").crossJoin(of(F.col("kind"), "by_kind"))
+
+
 def files_per_language(files: DataFrame) -> DataFrame:
     """(language, files, bytes) of a table of (file_path, bytes)."""
     return files.groupBy(detect_language("file_path").alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
@@ -110,8 +116,8 @@ def import_names(imports: DataFrame) -> DataFrame:
 def index_counters(parsed: DataFrame, listed: int = 50) -> DataFrame:
     """One row of counters of (file_path, status, reason): status is parsed, skip_mtime, skip_hash, degraded, failed or truncated."""
     s = F.col("status")
-    failed = F.array_sort(F.collect_list(F.when(s == "failed", F.struct("file_path", "reason"))))
+    first = parsed.where(s == "failed").orderBy("file_path").limit(listed).agg(F.array_sort(F.collect_list(F.struct("file_path", "reason"))).alias("failures"))
     return parsed.agg(
         F.count_if(s != "truncated").alias("scanned"), F.count_if(s.isin("parsed", "degraded")).alias("parsed"), F.count_if(s.startswith("skip")).alias("skipped"),
-        F.count_if(s == "truncated").alias("truncated"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "degraded").alias("degraded"), F.slice(failed, 1, listed).alias("failures"),
-    )
+        F.count_if(s == "truncated").alias("truncated"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "degraded").alias("degraded"),
+    ).crossJoin(first)

@@ -51,7 +51,7 @@ def _stored_graph(spark, d):
 
 
 def _most_called(g: CallGraph) -> str:
-    return g.edges.groupBy("callee").count().orderBy(F.desc("count"), "callee").first()["callee"]
+    return g.most_called
 
 
 _TOP = "(select callee from ce group by callee order by count(*) desc, callee limit 1)"
@@ -111,7 +111,7 @@ def code_tokens(spark, d):
 
 @query(f"with t as (select doc_id, unnest({TOKENS('text')}) as term from documents) select term, count(distinct doc_id) as df, cast(count(*) as bigint) as cf from t group by term")
 def token_stats(spark, d):
-    return search.token_stats(search.tokenized(b.table(spark, d, "documents"), "doc_id", ["text"]))
+    return search.token_stats(b.table(spark, d, "documents"), ["text"])
 
 
 def _fields(spark, d):
@@ -161,9 +161,27 @@ def search_kind_path_page(spark, d):
     return search.substring_search(_symbols(spark, d), "bolt", 5, 3, "trait", "src/")
 
 
-@query()
+_SYMBOL_FIELDS = " union all ".join(f"select id, '{f}' as field, {TOKENS(f)} as tokens from sy where {f} is not null" for f in ("name", "qualified_name", "signature", "doc_comment"))
+
+
+@query(f"""with sy as ({_SY}), toks as ({_SYMBOL_FIELDS}), st as (select field, count(*) n, avg(len(tokens)) al from toks group by field),
+hits as (select id, field, len(tokens) len, term, case term when 'small widget' then len(string_split('  ' || array_to_string(tokens, '  ') || '  ', ' small  widget ')) - 1 else len(list_filter(tokens, lambda v: v = term)) end tf from (select *, unnest(['small widget', 'steel']) term from toks)),
+h as (select * from hits where tf > 0), df as (select field, term, count(*) df from h group by 1, 2),
+sc as (select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / al))), 6) as score from h join df using (field, term) join st using (field) group by id order by score desc, id limit 20)
+select sy.id, name, kind, file_path, signature, score from sc join sy on sy.id = sc.id""")
 def symbol_search(spark, d):
-    return search.search(_symbols(spark, d), "smallWidget")
+    return search.search(_symbols(spark, d), "smallWidget steel")
+
+
+@query(f"""with sy as ({_SY}), toks as ({_SYMBOL_FIELDS}), st as (select field, count(*) n, avg(len(tokens)) al from toks group by field),
+hits as (select id, field, len(tokens) len, term, len(list_filter(tokens, lambda v: v = term)) tf from (select *, unnest(['small', 'widget']) term from toks)),
+h as (select * from hits where tf > 0), df as (select field, term, count(*) df from h group by 1, 2)
+select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / al))), 6) as score from h join df using (field, term) join st using (field) group by id order by score desc, id limit 20""")
+def bm25_stored(spark, d):
+    """From stored postings, sorted by term: the scan reads the words' row groups."""
+    tokens = search.tokenized(_symbols(spark, d), "id", ["name", "qualified_name", "signature", "doc_comment"])
+    stored = materialize(search.postings(tokens).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    return search.bm25_lookup(stored, materialize(search.lengths(tokens), "lengths"), "small widget")
 
 
 @query(f"with sy as ({_SY}) select id, name, kind, file_path, start_line, end_line from sy where id = (select min(id) from sy)")
@@ -437,6 +455,11 @@ def diff_counts(spark, d):
     return changes.diff_counts(_changes(spark, d))
 
 
+@query(f"with {_CHANGES} select file, count(*) as n, list(change || ' ' || name order by start_line, name, change) as names from ev group by file")
+def diff_by_file(spark, d):
+    return changes.by_file(_changes(spark, d))
+
+
 @query("select doc_id, cast(10 + doc_id % 50 as int) as start, cast(10 + doc_id % 50 + greatest(doc_id % 4 - 1, 0) as int) as stop from documents")
 def diff_ranges(spark, d):
     lines = b.table(spark, d, "documents").select("doc_id", F.concat(F.lit("@@ -1,2 +"), 10 + F.col("doc_id") % 50, F.lit(","), F.col("doc_id") % 4, F.lit(" @@ fn")).alias("line"))
@@ -498,6 +521,31 @@ def workspace_search(spark, d):
     return search.substring_search(_workspace(spark, d), "alpha")
 
 
+@query(f"with {_WS} select file_path, name, label from (select file_path, name, case when ordinal % 2 = 0 then 'alpha' else 'beta' end as label from ws) where label = 'alpha' and file_path = (select min(file_path) from ws)")
+def file_by_display(spark, d):
+    s = _symbols(spark, d).select("file_path", "name", F.when(F.col("ordinal") % 2 == 0, "alpha").otherwise("beta").alias("label"))
+    return workspace.file_key(s, "[alpha]" + s.agg(F.min("file_path")).first()[0])
+
+
+@query(f"with sy as ({_SY}) select id, case when length(regexp_replace(file_path, '/[^/]*$', '')) % 2 = 0 then regexp_replace(file_path, '/[^/]*$', '') else 'src' end as root_path from sy")
+def symbol_git_roots(spark, d):
+    s = _symbols(spark, d)
+    roots = s.select(F.explode(F.array(F.lit("src"), fn.dir_of("file_path"))).alias("root_path")).distinct().where("root_path = 'src' or length(root_path) % 2 = 0")
+    return workspace.git_roots(s, roots)
+
+
+@query("select source, substring(sha256('/data/' || source), 1, 8) as root_id, source as label from (select distinct source from documents)")
+def root_ids(spark, d):
+    path = F.concat(F.lit("/data/"), F.col("source"))
+    return b.table(spark, d, "documents").select("source").distinct().select("source", fn.root_id(path).alias("root_id"), fn.root_label(path).alias("label"))
+
+
+@query(f"with sy as ({_SY}), l as (select {_case('string_split(file_path, chr(46))[-1]', LANGUAGES, 'string_split(file_path, chr(46))[-1]')} as k, count(*) n from sy group by 1), d as (select kind k, count(*) n from sy group by 1) select 'language' as map, k as key, n from l union all select 'kind', k, n from d")
+def count_maps(spark, d):
+    m = symbols.count_maps(_symbols(spark, d))
+    return m.select(F.lit("language").alias("map"), F.explode("by_language").alias("key", "n")).union(m.select(F.lit("kind"), F.explode("by_kind")))
+
+
 @query(f"with {_WS} select l || id as id, 'id1' as root_id from ws where ordinal % 2 = 1")
 def remove_root(spark, d):
     return workspace.remove_root(_workspace(spark, d), "id0").select("id", "root_id")
@@ -512,7 +560,8 @@ def debounce_sessions(spark, d):
     return watch.debounced(e, "ts", "user_id", "10 minutes", ["event_type"], watermark=None).select("event_type", F.col("first_ms"), F.col("last_ms"), "events", F.size("changed").cast("long").alias("files"))
 
 
-@query()
+@query("""with e as (select event_type, epoch_us(ts) // 1000 ms from events), g as (select *, case when ms - lag(ms) over (partition by event_type order by ms) < 600000 then 0 else 1 end n from e),
+s as (select *, sum(n) over (partition by event_type order by ms rows unbounded preceding) k from g) select event_type, min(ms) as first_ms, max(ms) as last_ms, count(*) as events from s group by event_type, k""")
 def watch_stream(spark, d):
     return watch.replay(spark, f"{d}/events.parquet")
 

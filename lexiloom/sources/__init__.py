@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.extract import REGISTRY
 from lexiloom.functions import content_hash
+from lexiloom.operators.workspace import file_key
 
 MAX_FILES = 100_000
 MAX_LINES = 500
@@ -87,13 +88,21 @@ def read_sources(files: DataFrame, root: str) -> DataFrame:
     return files.mapInPandas(run, f"{schema}, content binary, read_error string").withColumn("hash", content_hash("content"))
 
 
-def scan_store(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
-    """(file_path, mtime_ns, content, hash) below any URI that Spark reads, without ignore rules."""
+def scan_store(spark: SparkSession, path: str, max_files: int | None = None) -> tuple[DataFrame, int]:
+    """((file_path, mtime_ns, content, hash) below any URI that Spark reads, number of files beyond max_files).
+
+    Every file unless max_files is given; then those whose paths are first, picked by the listing before any content is read. No ignore rules.
+    """
     suffix = "|".join(sorted(REGISTRY))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + suffix.replace("|", ",") + "}").load(path)
     base = path.rstrip("/").split(":")[-1].lstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", ""), "^" + re.escape(base) + "/", "")
-    return raw.select(rel.alias("file_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content", content_hash("content").alias("hash")).orderBy("file_path").limit(max_files)
+    truncated = 0
+    if max_files is not None:
+        listed = raw.select("path")
+        truncated = max(0, listed.count() - max_files)
+        raw = raw.join(listed.orderBy("path").limit(max_files), "path", "left_semi")
+    return raw.select(rel.alias("file_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content", content_hash("content").alias("hash")), truncated
 
 
 def from_memory(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
@@ -101,9 +110,9 @@ def from_memory(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
 
 
 def line_range(files: DataFrame, path: str, start: int, end: int) -> DataFrame:
-    """(line, text) of lines start to end of a file, counted from 1, at most MAX_LINES; none beyond the file's end."""
+    """(line, text) of lines start to end of a file, counted from 1, at most MAX_LINES; none beyond the file's end. The file may be named as its path or [label]path."""
     text = F.col("content").cast("string")
-    return files.where(F.col("file_path") == path).select(F.posexplode(F.split(text, "\n")).alias("at", "text")).select((F.col("at") + 1).alias("line"), "text").where(F.col("line").between(max(1, start), min(end, max(1, start) + MAX_LINES - 1))).orderBy("line")
+    return file_key(files, path).select(F.posexplode(F.split(text, "\n")).alias("at", "text")).select((F.col("at") + 1).alias("line"), "text").where(F.col("line").between(max(1, start), min(end, max(1, start) + MAX_LINES - 1))).orderBy("line")
 
 
 def _git(root: str, *args: str) -> str:
