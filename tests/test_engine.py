@@ -145,3 +145,84 @@ def test_replay_ends_its_bursts(spark, tmp_path):
     assert got == [("a", 1), ("a", 2), ("a", 2), ("b", 1), ("b", 1)]
     e.limit(0).coalesce(1).write.parquet(f"{tmp_path}/none.parquet")
     assert replay(spark, f"{tmp_path}/none.parquet/{next(tmp_path.glob('none.parquet/*.parquet')).name}").count() == 0
+
+
+def test_small_and_large_graphs_agree(spark, monkeypatch):
+    """The driver's arrays and the joins of frontiers give the same, by exact, short and partial names."""
+    import random
+
+    from lexiloom.operators import callgraph
+
+    r = random.Random(2)
+    names = [f"m{i % 5}::f{i}" for i in range(40)] + ["a::f3", "loop"]
+    edges = spark.createDataFrame([(r.choice(names), r.choice(names)) for _ in range(70)] + [("loop", "loop"), (None, "x"), ("m0::f0", "far"), ("island", "isle")], "caller string, callee string")
+    small = CallGraph.stored(edges)
+    monkeypatch.setattr(callgraph, "LOCAL_EDGES", 0)
+    large = CallGraph.stored(edges)
+    assert small.local is not None and large.local is None and small.most_called == large.most_called
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for n in ("m0::f0", "f3", "f1", "loop", "nothing"):
+        assert rows(small.callers(n)) == rows(large.callers(n)) and rows(small.callees(n)) == rows(large.callees(n))
+    for n in ("m1::f1", "loop", "nothing"):
+        assert rows(small.transitive(n)) == rows(large.transitive(n))
+        assert small.has_cycle(n) == large.has_cycle(n)
+    for n in ("m1::f1", "f3"):
+        assert rows(small.transitive(n, 2, "callees")) == rows(large.transitive(n, 2, "callees"))
+    assert rows(small.impact("m1::f1")) == rows(large.impact("m1::f1"))
+    for a, z in (("m0::f0", "m3::f8"), ("far", "loop"), ("m1::f1", "m1::f1"), ("island", "loop"), ("x", "nothing")):
+        one, two = small.path(a, z).collect(), large.path(a, z).collect()
+        assert [x["hops"] for x in one] == [x["hops"] for x in two]
+        link = {(x["caller"], x["callee"]) for x in edges.collect()}
+        assert all((p, q) in link or (q, p) in link for x in one for p, q in zip(x["path"], x["path"][1:]))
+
+
+def test_degraded_files(spark):
+    from lexiloom.extract import parse_files
+
+    files = spark.createDataFrame([("a.py", "class A:\n    def run(self):\n        pass\ndef broken(:\n"), ("b.py", "((("), ("c.py", "x = 1\n"), ("d.py", None)], "file_path string, content string")
+    got = {r["file_path"]: (r["status"], [(s["name"], s["kind"], s["span"]["start_line"]) for s in r["symbols"]]) for r in parse_files(files).collect()}
+    assert got["a.py"] == ("degraded", [("A", "class", 1), ("run", "method", 2), ("broken", "function", 4)])
+    assert got["b.py"] == ("failed", []) and got["c.py"][0] == "parsed" and got["d.py"] == ("failed", [])
+
+
+def test_store_scan_counts_what_it_leaves(spark, tree):
+    files, left = sources.scan_store(spark, f"file://{tree}")
+    assert left == 0 and {r["file_path"] for r in files.select("file_path").collect()} == {"src/engine.rs", "src/utils.rs", "src/main.rs", "gen/skip.rs", "broken.py"}
+    files, left = sources.scan_store(spark, f"file://{tree}", 2)
+    assert left == 3 and [r["file_path"] for r in files.select("file_path").orderBy("file_path").collect()] == ["broken.py", "gen/skip.rs"]
+
+
+def test_index_versions(spark, tree, tmp_path):
+    """A reader of the version before still reads it after one write more; stored search gives what search on symbols gives."""
+    ix = build_index(spark, str(tree))
+    assert ix.meta["degraded"] == 0
+    for _ in range(3):
+        ix.write(str(tmp_path / "ix"))
+    old = Index.read(spark, str(tmp_path / "ix"))
+    ix.write(str(tmp_path / "ix"))
+    assert old.symbols.count() == ix.symbols.count() and len(list((tmp_path / "ix").glob("v*"))) == 2
+    assert Index.read(spark, str(tmp_path / "none")) is None
+    from lexiloom.operators import search
+
+    rows = lambda df: [(r["id"], r["score"]) for r in df.collect()]
+    assert rows(Engine(old).search("run")) == rows(search.search(ix.symbols, "run")) != []
+
+
+def test_file_keys_and_lines(spark):
+    files = spark.createDataFrame([("a.rs", "one", "x\ny"), ("a.rs", "two", "z")], "file_path string, label string, content string")
+    assert [r["text"] for r in sources.line_range(files, "[one]a.rs", 1, 9).collect()] == ["x", "y"]
+    assert sources.line_range(files, "a.rs", 1, 1).count() == 2 and sources.line_range(files, "a.rs", 7, 9).count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from lexiloom import durable
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Fake:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        durable.shared_dir(Fake())
