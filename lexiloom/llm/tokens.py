@@ -150,4 +150,5 @@ def document_token_counts(docs: DataFrame, **options) -> DataFrame:
     files, order = write_token_files(docs, scratch(spark, "ids"), **options)
     found = separator_scan(files)
     of = order.select(F.col("file").alias("of_file"), F.col("doc").alias("nth"), "doc_id")
-    return found.join(of, (F.col("file") == F.col("of_file")) & (F.col("doc") == F.col("nth"))).select("doc_id", "tokens", "file", "start")
+    # lists of ids are small on disk, so that their size there would let them be broadcast at any number of documents
+    return found.join(of.hint("merge"), (F.col("file") == F.col("of_file")) & (F.col("doc") == F.col("nth"))).select("doc_id", "tokens", "file", "start")
