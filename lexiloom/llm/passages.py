@@ -15,9 +15,10 @@ anchors, and each is compared with the earlier ones that nothing has confirmed e
 Verification takes the words themselves: a span is a duplicate where at least SIMILARITY of its trigrams
 occur in the partner's segment.
 
-No group is gathered in one row or task: the first document of each key comes from an aggregate and a join
-that adaptive execution splits where a key is hot, what is asked of a document is distinct ranges of it, and
-a segment that many ask for is sent to one task for every ASKERS of them.
+Windows stream by key, in order, past the first of their key, so that a hot key needs no memory; what is asked
+of a document is distinct ranges of it, and a segment that many ask for is sent to one task for every ASKERS of
+them. The unconfirmed candidates of one key meet in one task, by lists of the trigrams that can lead from one to
+another: not those that many hold and that make up no span by themselves.
 """
 
 from __future__ import annotations
@@ -46,8 +47,6 @@ ASKERS = 4096
 SEGMENT_WORDS = 1 << 18
 #: Words that are compared in one go; their trigrams stay in the processor's cache.
 CHUNK_WORDS = 1 << 16
-#: A trigram that more of the unconfirmed candidates of one key have doesn't lead from one to another.
-COMMON = 64
 #: So many documents at most are picked by a broadcast of their ids.
 BROADCAST_IDS = 1_000_000
 _FUNCTIONS = np.random.default_rng(41).integers(1, 1 << 63, 2 * PAIRS, dtype=np.uint64) | np.uint64(1)
@@ -126,6 +125,38 @@ def _windows(least: int):
     return run
 
 
+_MET = "key long, doc_id long, pos int, lo int, hi int, hub long, hub_pos int, hub_lo int, hub_hi int, alone boolean"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows whose key another document has, but for the first of each key, which (hub) stands beside the others.
+
+    Rows come in the order of key, doc_id and pos. Of a key that goes on in the next batch only the first window is
+    held, or, while no other document has come, those of its document. alone: no third window has the key.
+    """
+    names = ["key", "doc_id", "pos", "lo", "hi"]
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(k).to_numpy() for k in names]
+        if held:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        key, doc, pos, lo, hi = rows
+        n = len(key)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, n))
+        several = doc[starts + sizes - 1] != doc[starts]
+        two = sizes == 2
+        two[[0, -1]] = False  # these may go on before or after this batch
+        held = [x[starts[-1] : starts[-1] + 1] if several[-1] else x[starts[-1] :] for x in rows]
+        hub = np.repeat(starts, sizes)
+        out = np.repeat(several, sizes) & ((doc != doc[hub]) | (pos != pos[hub]))
+        if out.any():
+            h = hub[out]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in rows), *(pa.array(x[h]) for x in rows[1:]), pa.array(np.repeat(two, sizes)[out])], names=[*names, "hub", "hub_pos", "hub_lo", "hub_hi", "alone"])
+
+
 _SEGMENT = "hub long, blo int, bhi int, s0 int, s1 int, side int, doc_id long, first int, tokens binary"
 
 
@@ -307,44 +338,75 @@ def _verified(least: int, similarity: float):
     return run
 
 
-def _led(parts: list[np.ndarray], enough: float) -> tuple[dict[int, list[int]], np.ndarray]:
-    """(for each segment the earlier ones that share enough trigrams with it, ascending; how many common ones each has).
+def _prefixes(hold: np.ndarray, at: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """For each segment the number that its leading trigrams' segments don't exceed; -1 where it has none.
+
+    hold: by how many segments of the key each trigram is held; at: first trigram of each segment. The trigrams
+    held by more can't make up a span by themselves, whichever segment they are found in, so a segment that
+    confirms shares one that is held by so many or fewer.
+    """
+    need = similarity * max(least - 2, 1) - 1e-9
+    out = np.full(len(at) - 1, -1)
+    enough = np.add.reduceat(np.append(hold > 1, False).astype(np.int64), at[:-1]) >= need if len(at) > 1 else np.zeros(0, bool)
+    for k in np.flatnonzero(enough & (np.diff(at) > 0)).tolist():
+        mine = hold[at[k] : at[k + 1]]
+        if not _ranges(mine > 1, least, similarity):
+            continue
+        steps = np.unique(mine[mine > 1])
+        lo, hi = 0, len(steps) - 1  # those held by more than the last step are none
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if _ranges(mine > steps[mid], least, similarity):
+                lo = mid + 1
+            else:
+                hi = mid
+        out[k] = steps[lo]
+    return out
+
 
-    Enough counts the trigrams that at most COMMON segments have, of which one at least is shared, and all common ones.
+def _confirmed(parts: list[np.ndarray], doc: np.ndarray, within: np.ndarray, least: int, similarity: float) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(segment, earlier one, spans) of the segments of one key, in order; within: the word of each that a span must hold to confirm it.
+
+    A segment is compared with those before it that are unconfirmed, in order, until one confirms it. Which
+    these are comes from lists of the unconfirmed ones by trigram. Left out are only pairs that can't have a span.
     """
     sizes = np.array([max(len(x) - 2, 0) for x in parts])
-    owner = np.repeat(np.arange(len(parts)), sizes)
+    at = np.concatenate([[0], np.cumsum(sizes)])
     g = np.concatenate([_grams(x) for x in parts if len(x) > 2] or [np.zeros(0, np.uint64)])
-    order = np.lexsort((owner, g))
-    g, owner = g[order], owner[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-    g, owner, weight = g[new], owner[new], np.diff(np.append(np.flatnonzero(new), len(new)))
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    count = np.diff(np.append(start, len(g)))
-    common = np.bincount(owner, np.repeat(count > COMMON, count) * weight, len(parts))
-    codes, shared = [], []
-    for c in np.unique(count[(count > 1) & (count <= COMMON)]):
-        at = start[count == c][:, None] + np.arange(c)
-        i, j = np.triu_indices(c, 1)
-        codes.append((owner[at[:, j]] * len(parts) + owner[at[:, i]]).ravel())
-        shared.append(weight[at[:, j]].ravel())
-    led: dict[int, list[int]] = {}
-    if codes:
-        code, back = np.unique(np.concatenate(codes), return_inverse=True)
-        n = np.bincount(back, np.concatenate(shared))
-        for x in code[n + common[code // len(parts)] >= enough].tolist():
-            led.setdefault(x // len(parts), []).append(x % len(parts))
-    return led, common
+    _, gram = np.unique(g, return_inverse=True)
+    del g
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    each = np.unique(gram * len(parts) + owner)
+    held = np.bincount(each // len(parts))
+    del each
+    hold = held[gram]
+    to = _prefixes(hold, at, least, similarity)
+    leads = np.zeros(len(held), bool)  # grams that lead from some segment
+    leads[gram[hold <= to[owner]]] = True
+    lists: dict[int, list[int]] = {}
+    need = similarity * max(least - 2, 1) - 1e-9
+    for k, a in enumerate(parts):
+        mine, count = np.unique(gram[at[k] : at[k + 1]], return_counts=True)
+        found = False
+        if to[k] > 1:
+            mask = (held[mine] > 1) & (held[mine] <= to[k])
+            rest = count[held[mine] > to[k]].sum()
+            near = [(lists[x], c) for x, c in zip(mine[mask].tolist(), count[mask].tolist()) if x in lists]
+            if near:
+                who = np.concatenate([np.array(x) for x, _ in near])
+                shared = np.bincount(who, np.repeat([c for _, c in near], [len(x) for x, _ in near]))
+                for m in np.flatnonzero((shared > 0) & (shared + rest >= need)).tolist():
+                    if doc[m] != doc[k] and (spans := duplicate_spans(a, parts[m], least, similarity)):
+                        yield k, m, spans
+                        if found := any(s <= within[k] < e for s, e in spans):
+                            break
+        if not found:
+            for x in mine[leads[mine] & (held[mine] > 1)].tolist():
+                lists.setdefault(x, []).append(k)
 
 
 def _rest(least: int, similarity: float):
-    """Spans among the candidates of each key (hub), which come in the order of doc_id and position (side).
-
-    A candidate is compared with those before it that are unconfirmed, in order, until one confirms it. Left
-    out are only pairs that can't reach a span, because they share too few trigrams.
-    """
-    enough = similarity * max(least - 2, 1) - 1e-9
+    """Spans among the candidates of each key (hub), which come in the order of doc_id and position (side)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["hub"], rows=5_000):
@@ -354,21 +416,8 @@ def _rest(least: int, similarity: float):
             out: list[tuple] = []
             for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 parts = [flat[off[k] : off[k + 1]] for k in range(i, j)]
-                led, common = _led(parts, enough)
-                kept: list[bool] = []
-                full: list[int] = []  # those kept whose common trigrams would do alone
-                for k, a in enumerate(parts):
-                    tried = sorted({*led.get(k, ()), *full}) if common[k] >= enough else led.get(k, ())
-                    found = False
-                    for m in tried:
-                        if kept[m] and doc[i + m] != doc[i + k]:
-                            spans = duplicate_spans(a, parts[m], least, similarity)
-                            out += [(int(doc[i + k]), int(first[i + k]) + s, int(first[i + k]) + e, int(doc[i + m])) for s, e in spans]
-                            if found := any(s <= pos[i + k] - first[i + k] < e for s, e in spans):
-                                break
-                    kept.append(not found)
-                    if not found and common[k] >= enough:
-                        full.append(k)
+                for k, m, spans in _confirmed(parts, doc[i:j], pos[i:j] - first[i:j], least, similarity):
+                    out += [(int(doc[i + k]), int(first[i + k]) + s, int(first[i + k]) + e, int(doc[i + m])) for s, e in spans]
             if out:
                 yield _span_batch(out)
 
@@ -410,13 +459,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text, kept = id_text(docs), Temporary(spark)
-    rows = kept.keep(text.mapInArrow(_windows(min_words - 2), "key long, doc_id long, pos int, lo int, hi int"), "windows")
-    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last").select(F.col("key").alias("k"), "hub", "n")
-    rows = kept.keep(rows.join(hubs, F.col("key") == F.col("k")).drop("k"), "shared")
-    kept.drop("windows")
-    theirs = rows.where("doc_id = hub").groupBy(F.col("key").alias("k")).agg(F.min("pos").alias("hub_pos"), F.min_by("lo", "pos").alias("hub_lo"), F.min_by("hi", "pos").alias("hub_hi"))
-    both = rows.where("doc_id <> hub").join(theirs, F.col("key") == F.col("k"))
-    pairs = both.groupBy("doc_id", "hub", (F.col("pos") - F.col("hub_pos")).alias("offset")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi"))
+    order = ["key", "doc_id", "pos", "lo", "hi"]
+    rows = text.mapInArrow(_windows(min_words - 2), "key long, doc_id long, pos int, lo int, hi int").repartition(n, "key").sortWithinPartitions(*order)
+    rows = kept.keep(rows.mapInArrow(_met, _MET), "shared")
+    pairs = rows.where("doc_id <> hub").groupBy("doc_id", "hub", (F.col("pos") - F.col("hub_pos")).alias("offset")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi"))
     low, high = (F.floor(F.col("hub_lo") / ROUND) * ROUND).cast("int"), (F.floor(F.col("hub_hi") / ROUND) * ROUND + ROUND - 1).cast("int")
     pairs = kept.keep(pairs.select("doc_id", "hub", "lo", "hi", low.alias("blo"), high.alias("bhi")).distinct(), "pairs")
     segment = pairs.groupBy("hub", "blo", "bhi").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("salts"))
@@ -427,7 +473,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     parts = _asked_segments(text, asked).withColumn("salt", F.explode(F.sequence("s0", "s1"))).select(F.xxhash64("hub", "blo", "bhi", "salt").alias("gid"), "side", "doc_id", "first", "tokens")
     spans = kept.keep(parts.repartition(n, "gid").sortWithinPartitions("gid", "side").mapInArrow(_verified(min_words, similarity), _SPAN).distinct(), "spans")
     of_pair = spans.groupBy(F.col("doc_id").alias("d"), F.col("of_doc").alias("o")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    left = rows.where("n > 2").join(theirs, F.col("key") == F.col("k")).where("doc_id <> hub or pos <> hub_pos").select("key", "doc_id", "pos", "lo", "hi", "hub")
+    left = rows.where("not alone").select("key", "doc_id", "pos", "lo", "hi", "hub")
     left = left.join(of_pair, (F.col("doc_id") == F.col("d")) & (F.col("hub") == F.col("o")), "left")
     left = kept.keep(left.where(~F.coalesce(F.exists("spans", lambda x: (x["start_word"] <= F.col("pos")) & (F.col("pos") < x["end_word"])), F.lit(False))).select("key", "doc_id", "pos", "lo", "hi"), "left")
     many = left.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("k")

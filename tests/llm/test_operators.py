@@ -378,6 +378,34 @@ def test_passages_whose_first_partner_is_no_copy(spark):
     assert got == [(290, 0, 90, 3), (299, 0, 55, 7)]
 
 
+def test_stock_phrase_is_not_compared_by_pairs(monkeypatch):
+    """600 segments share 45 words, too few for a passage; only those that share more are compared."""
+    r = np.random.default_rng(2)
+    phrase = r.integers(0, 1 << 31, 45).astype(np.uint32)
+    segments = [np.concatenate([phrase, r.integers(0, 1 << 31, 60)]).astype(np.uint32) for _ in range(600)]
+    segments[500] = np.concatenate([segments[20][:70], segments[500][70:]])
+    calls, plain = [], passages.duplicate_spans
+    monkeypatch.setattr(passages, "duplicate_spans", lambda *a: calls.append(1) or plain(*a))
+    batch = pa.RecordBatch.from_pydict({"hub": [1] * 600, "side": [5] * 600, "doc_id": list(range(600)), "first": [0] * 600, "tokens": [s.tobytes() for s in segments]})
+    got = [x for b in passages._rest(50, 0.7)(iter([batch])) for x in zip(*b.to_pydict().values())]
+    assert got == [(500, 0, 70, 20)] and len(calls) < 600
+
+
+def test_first_windows_of_keys_in_any_batches():
+    r = np.random.default_rng(3)
+    rows = sorted({(int(k), int(d), int(p)) for k, d, p in zip(r.integers(0, 40, 400) ** 2 // 40, r.integers(0, 9, 400), r.integers(0, 4, 400))})
+    want = []
+    for key in {k for k, _, _ in rows}:
+        own = [x for x in rows if x[0] == key]
+        if len({d for _, d, _ in own}) > 1:
+            want += [(*x, *own[0][1:]) for x in own[1:]]
+    for size in (1, 3, 50, 1000):
+        batches = [pa.RecordBatch.from_pydict({"key": k, "doc_id": d, "pos": p, "lo": p, "hi": p}) for k, d, p in ([list(c) for c in zip(*rows[i : i + size])] for i in range(0, len(rows), size))]
+        out = [x for b in passages._met(iter(batches)) for x in zip(*b.to_pydict().values())]
+        assert sorted((k, d, p, h, hp) for k, d, p, _, _, h, hp, _, _, _ in out) == sorted(want)
+        assert all(sum(k == x[0] for k, _, _ in rows) == 2 for x in out if x[9])
+
+
 def test_merged_windows():
     key, doc = np.array([5, 5, 5, 7, 5]), np.array([0, 0, 0, 0, 1])
     pos, lo, hi = np.array([9, 3, 40, 4, 3]), np.array([5, 0, 30, 0, 0]), np.array([20, 10, 50, 9, 10])
