@@ -88,6 +88,18 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     assert got == linked(texts, ids)
 
 
+def test_jaccard_join_loses_no_pair(spark):
+    """Pairs of J from 0.5 to 0.53, of which the bands alone lose some, and others just below 0.5."""
+    texts = []
+    for k in range(400):
+        shared, n = prose(62, 20_000 + k), 60
+        for i in (0, 1):  # n shared grams, and in each text so many of its own
+            own = (n // 2, n // 2 - 2, n // 2 - 3, n // 2 + 1)[k % 4]
+            texts.append(shared + " " + " ".join(f"o{k}x{i}x{j}" for j in range(own)))
+    got = {x["doc_id"]: (x["class_id"], x["links"]) for x in jaccard.ngram_jaccard_join(table(spark, texts)).collect()}
+    assert got == {2 * k + i: (2 * k + i * (k % 4 == 3), int(k % 4 != 3)) for k in range(400) for i in (0, 1)}
+
+
 def test_packing(spark, odd):
     r = random.Random(1)
     sizes = sorted((r.randint(0, 50) for _ in range(300)), reverse=True)
