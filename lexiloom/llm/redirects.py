@@ -109,9 +109,9 @@ def redirect_decisions(pages: DataFrame, redirects: DataFrame | None = None, hos
     rule: what hosts and patterns say of the URL itself, 'allow' before 'block', else null. decision: 'allow'
     where the rule is; else 'block' where any URL of the component is blocked by its rule; else 'pass'.
     hosts: (host, subdomains, rule), see host_rules; host_rules' own unless it, block or allow is given. block, allow: regular
-    expressions on the URL as it is given. redirects: (src, dst) URLs of known redirects; a blocked URL in it
-    counts though it has no page. An allowed URL that is blocked by another rule too blocks nobody. A null url
-    has a null rule and passes; an empty one is a URL like others; a null html has no links; rows that repeat
+    expressions on the URL as it is given. redirects: (src, dst) URLs of known redirects. A blocked URL that
+    one of them, a canonical link or a meta refresh names counts though it has no page. An allowed URL that is
+    blocked by another rule too blocks nobody. A null url has a null rule and passes; an empty one is a URL like others; a null html has no links; rows that repeat
     are decided each, equal pages alike; chains and loops of any length are one component; other columns are
     not read. An empty table gives no rows. URLs meet by 64-bit hashes of their normal forms.
     """
@@ -127,10 +127,9 @@ def redirect_decisions(pages: DataFrame, redirects: DataFrame | None = None, hos
     own = _ruled(page, hosts, block, allow).withColumn("node", F.when(F.col("url").isNotNull(), node))
     own = own.join(group, F.col("node") == F.col("at"), "left").select("page_id", "url", "rule", F.coalesce("component", "node").alias("class"))
     bad = own.where("rule = 'block'").select(F.col("class").alias("bad"))
-    if redirects is not None:
-        both = _ruled(edges.select(F.explode(F.array("src", "dst")).alias("url")), hosts, block, allow).where("rule = 'block'")
-        named = both.select(node.alias("node")).join(group, F.col("node") == F.col("at"), "left")
-        bad = bad.union(named.select(F.coalesce("component", "node")))
+    both = _ruled(edges.select(F.explode(F.array("src", "dst")).alias("url")), hosts, block, allow).where("rule = 'block'")
+    named = both.select(node.alias("node")).join(group, F.col("node") == F.col("at"), "left")
+    bad = bad.union(named.select(F.coalesce("component", "node")))
     out = own.join(bad.distinct(), F.col("class") == F.col("bad"), "left")
     return out.select("page_id", "url", "rule", F.when(F.col("rule") == "allow", "allow").when(F.col("bad").isNotNull(), "block").otherwise("pass").alias("decision"))
 

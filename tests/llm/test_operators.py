@@ -183,6 +183,13 @@ def test_redirects_odd_pages(spark):
     assert got == {None, 200, 300, 301, 302} | {100 + i for i in range(40)}
 
 
+def test_links_to_blocked_urls_without_a_page(spark):
+    """The links of pages count without a table of redirects, and whether or not what they name has a page."""
+    rows = [(1, "http://a.org/", '<meta http-equiv="refresh" content="0; url=http://spam-farm.example.com/x">'), (2, "http://b.org/", '<link rel="canonical" href="http://a.org">'), (3, "http://c.org/", '<link rel="canonical" href="http://d.org/">')]
+    out = redirects.redirect_decisions(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["rule"], r["decision"]) for r in out} == {(1, None, "block"), (2, None, "block"), (3, None, "pass")}
+
+
 def test_normal_form(spark):
     same = ["http://www.A.com/B?ref=1&x=2", "https://a.com:443/B?x=2&utm_source=z#top", "//m.a.com/B/?x=2".replace("/?", "?")]
     other = ["http://a.com/b?x=2", "http://a.com/B?x=2&page=3", "http://a.com/B"]
