@@ -557,7 +557,7 @@ def debounce_sessions(spark, d):
     e = b.table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "user_id")
     # whole milliseconds, as the gap is given in them
     e = e.withColumn("ms", F.unix_millis("ts")).withColumn("ts", F.timestamp_millis("ms"))
-    return watch.debounced(e, "ts", "user_id", "10 minutes", ["event_type"], watermark=None).select("event_type", F.col("first_ms"), F.col("last_ms"), "events", F.size("changed").cast("long").alias("files"))
+    return watch.debounced(e, "ts", "user_id", "10 minutes", ["event_type"], watermark=None, paths=False)
 
 
 @query("""with e as (select event_type, epoch_us(ts) // 1000 ms from events), g as (select *, case when ms - lag(ms) over (partition by event_type order by ms) < 600000 then 0 else 1 end n from e),

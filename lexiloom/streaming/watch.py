@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.durable import scratch
@@ -17,14 +17,38 @@ def source_events(events: DataFrame, path: str = "path") -> DataFrame:
     return events.where(is_supported(F.col(path)))
 
 
-def debounced(events: DataFrame, ts: str = "ts", path: str = "path", gap: str = "500 milliseconds", keys: list[str] | None = None, watermark: str | None = "10 seconds") -> DataFrame:
-    """(keys, first_ms, last_ms, events, changed): one row for each burst of events, which a silence of gap ends.
+def debounced(events: DataFrame, ts: str = "ts", path: str = "path", gap: str = "500 milliseconds", keys: list[str] | None = None, watermark: str | None = "10 seconds", paths: bool = True) -> DataFrame:
+    """(keys, first_ms, last_ms, events, changed): one row for each burst of events, which a silence of gap ends; without paths their number, files, instead of changed.
 
     Works on batches and, with a watermark, on streams in append mode, where a burst appears once it can't grow.
     """
+    keys = keys or []
+    if not events.isStreaming:
+        return _bursts(events, ts, path, gap, keys, paths)
     e = events.withWatermark(ts, watermark) if watermark else events
-    out = e.groupBy(F.session_window(ts, gap), *(keys or [])).agg(F.min(F.unix_millis(ts)).alias("first_ms"), F.max(F.unix_millis(ts)).alias("last_ms"), F.count(F.lit(1)).alias("events"), F.collect_set(path).alias("changed"))
-    return out.select(*(keys or []), "first_ms", "last_ms", "events", "changed")
+    out = e.groupBy(F.session_window(ts, gap), *keys).agg(F.min(F.unix_millis(ts)).alias("first_ms"), F.max(F.unix_millis(ts)).alias("last_ms"), F.count(F.lit(1)).alias("events"), F.collect_set(path).alias("changed"))
+    return out.select(*keys, "first_ms", "last_ms", "events", "changed" if paths else F.size("changed").cast("long").alias("files"))
+
+
+def _bursts(events: DataFrame, ts: str, path: str, gap: str, keys: list[str], paths: bool) -> DataFrame:
+    """The bursts of a batch. Events in one slot as wide as the gap are of one burst, so only slots are put in order, and a
+    burst of any size is many rows of slots and paths until its end; session windows merge the sets of one key's bursts event by event."""
+    width = f"unix_micros(timestamp_micros(0L) + interval '{gap}')"
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    e = events.where(F.col(ts).isNotNull()).select(*keys, F.col(path).alias("__path"), us.alias("__us")).withColumn("__slot", F.expr(f"__us - pmod(__us, {width})"))
+    each = [F.min("__us").alias("__lo"), F.max("__us").alias("__hi")]
+    w = Window.partitionBy(*keys).orderBy("__slot")
+    opens = F.coalesce(F.col("__lo") - F.lag("__hi").over(w) >= F.expr(width), F.lit(True)).cast("long")
+    slots = e.groupBy(*keys, "__slot").agg(*each).withColumn("__opens", opens).withColumn("__burst", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = slots.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__slot").alias("__at"), "__burst")
+    own = e.groupBy(*keys, "__slot", "__path").agg(*each, F.count(F.lit(1)).alias("__n"))
+    same = F.col("__slot") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    what = F.collect_set("__path").alias("changed") if paths else F.countDistinct("__path").alias("files")
+    out = own.join(slots, same).groupBy(*keys, "__burst").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__n").alias("events"), what)
+    ms = lambda c: F.unix_millis(F.timestamp_micros(c))
+    return out.select(*keys, ms("__lo").alias("first_ms"), ms("__hi").alias("last_ms"), "events", "changed" if paths else "files")
 
 
 def watch(events: DataFrame, reindex: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "500 milliseconds"):

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import sqlite3
 import subprocess
 
@@ -226,3 +227,23 @@ def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         durable.shared_dir(Fake())
+
+
+def test_bursts_by_brute_force(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(-40_000, 40_000) * 100, rnd.randrange(9)) for _ in range(1500)] + [("tie", 0, 1), ("tie", 500_000, 2), ("tie", 999_999, 2), ("none", 5, None)]
+    want = []
+    for k in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == k)
+        burst = [own[0]]
+        for x in own[1:] + [None]:
+            if x is None or x[0] - burst[-1][0] >= 500_000:
+                want.append((str(k), burst[0][0] // 1000, burst[-1][0] // 1000, len(burst), sorted({p for _, p in burst} - {None})))
+                burst = []
+            burst.append(x)
+    e = spark.createDataFrame(rows, "k string, us long, path int").withColumn("ts", F.timestamp_micros("us"))
+    got = debounced(e, keys=["k"], watermark=None)
+    assert sorted((str(r["k"]), r["first_ms"], r["last_ms"], r["events"], sorted(r["changed"])) for r in got.collect()) == sorted(want)
+    assert "MergingSessions" not in got._jdf.queryExecution().toString()
+    counts = debounced(e, keys=["k"], watermark=None, paths=False)
+    assert sorted((str(r["k"]), r["first_ms"], r["events"], r["files"]) for r in counts.collect()) == sorted((k, a, n, len(p)) for k, a, _, n, p in want)
