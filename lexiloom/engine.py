@@ -50,8 +50,7 @@ class Index:
         store = _Store(spark, path)
         version = f"v{time.time_ns()}"
         for name, df in self.tables.items():
-            by = {"identifiers": "name", "postings": "term"}.get(name)
-            out = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+            out = search.by_term(df) if name == "postings" else df.repartitionByRange("name", "file_path", "line").sortWithinPartitions("name") if name == "identifiers" else df
             out.write.parquet(f"{store.path}/{version}/{name}")
         store.put(f"{version}/meta.json", json.dumps(self.meta))
         before = store.get("CURRENT")

@@ -60,8 +60,17 @@ def tokenized(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(field, term, id, tf, len) for a stored index; write it bucketed or sorted by term, and a query reads its terms only."""
-    return tokens.select("id", "field", "len", F.explode("tokens").alias("term")).groupBy("field", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    """(field, term, id, tf, len) for a stored index; write it by by_term, and a query reads its terms only. Terms are counted within their row, so nothing is held for a task's rows together."""
+    own = tokens.select("id", "field", "len", F.sort_array("tokens").alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = own.where("size(t) > 0").select("id", "field", "len", "t", starts.alias("s"))
+    each = runs.select("id", "field", "len", F.explode(F.transform("s", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - p).cast("long").alias("tf")))).alias("x"))
+    return each.select("field", "x.term", "id", "len", "x.tf")
+
+
+def by_term(stored: DataFrame) -> DataFrame:
+    """Postings in the order in which to write them: ranges of terms, and of ids within a term that many documents have."""
+    return stored.repartitionByRange("term", "id").sortWithinPartitions("term")
 
 
 def token_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -80,7 +89,7 @@ def lengths(tokens: DataFrame) -> DataFrame:
 def _scores(hits: DataFrame, lens: DataFrame) -> DataFrame:
     stats = lens.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    x = hits.join(df, ["field", "term"]).join(stats, "field")
+    x = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each field and word, and for each field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return x.groupBy("id").agg(F.round(F.sum(weight), 6).alias("score"))

@@ -179,8 +179,9 @@ h as (select * from hits where tf > 0), df as (select field, term, count(*) df f
 select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / al))), 6) as score from h join df using (field, term) join st using (field) group by id order by score desc, id limit 20""")
 def bm25_stored(spark, d):
     """From stored postings, sorted by term: the scan reads the words' row groups."""
-    tokens = search.tokenized(_symbols(spark, d), "id", ["name", "qualified_name", "signature", "doc_comment"])
-    stored = materialize(search.postings(tokens).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    # symbols are few bytes each in a table's file, and many postings: one task shouldn't have all of a file
+    tokens = materialize(search.tokenized(_symbols(spark, d).repartition("id"), "id", ["name", "qualified_name", "signature", "doc_comment"]), "tokens")
+    stored = materialize(search.by_term(search.postings(tokens)), "postings")
     return search.bm25_lookup(stored, materialize(search.lengths(tokens), "lengths"), "small widget")
 
 

@@ -247,3 +247,23 @@ def test_bursts_by_brute_force(spark):
     assert "MergingSessions" not in got._jdf.queryExecution().toString()
     counts = debounced(e, keys=["k"], watermark=None, paths=False)
     assert sorted((str(r["k"]), r["first_ms"], r["events"], r["files"]) for r in counts.collect()) == sorted((k, a, n, len(p)) for k, a, _, n, p in want)
+
+
+def test_postings_count_in_rows_and_spread_a_term(spark):
+    from collections import Counter
+
+    from lexiloom.operators import search
+
+    texts = {1: "get_item getItem x_get", 2: "", 3: "a b c", 4: "item"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, body string")
+    made = search.postings(search.tokenized(docs, "id", ["body"]))
+    want = [(k, t, n, sum(c.values())) for k, c in ((k, Counter(t for w in query_tokens(x) for t in w)) for k, x in texts.items()) for t, n in c.items()]
+    assert sorted((r["id"], r["term"], r["tf"], r["len"]) for r in made.collect()) == sorted(want)
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    many = search.tokenized(spark.range(20_000).select("id", F.lit("common").alias("body")), "id", ["body"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in search.by_term(search.postings(many)).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 20_000 and max(sizes) < 15_000
