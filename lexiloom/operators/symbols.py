@@ -104,8 +104,9 @@ def refs_breakdown(identifiers: DataFrame, name: str | None = None) -> DataFrame
 
 
 def identifier_index(identifiers: DataFrame) -> DataFrame:
-    """(name, files): the distinct files of each name, sorted."""
-    return identifiers.select("name", "file_path").distinct().groupBy("name").agg(F.array_sort(F.collect_list("file_path")).alias("files"))
+    """(name, files): the distinct files of each name, sorted. One exchange, by name; repeats within a file are better left out before it."""
+    own = identifiers.select("name", "file_path").repartition("name")  # so the aggregate needs no exchange of lists
+    return own.groupBy("name").agg(F.array_distinct(F.sort_array(F.collect_list("file_path"))).alias("files"))
 
 
 def import_names(imports: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def refs_breakdown(spark, d):
 
 @query(f"with ids as ({_ID}) select name, list(distinct file_path order by file_path) as files from ids group by name")
 def identifier_index(spark, d):
-    return symbols.identifier_index(b.identifiers(spark, d))
+    return symbols.identifier_index(b.identifier_files(spark, d))
 
 
 @query(f"with im as ({_IM}) select imported as name, list(file_path order by file_path) as files from im group by imported")

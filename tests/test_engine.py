@@ -267,3 +267,17 @@ def test_postings_count_in_rows_and_spread_a_term(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 20_000 and max(sizes) < 15_000
+
+
+def test_identifier_index_shuffles_once(spark, tmp_path):
+    from lexiloom.operators import symbols
+    from lexiloom.plans import bindings
+
+    ids = spark.createDataFrame([("b", "x"), ("a", "x"), ("b", "x"), ("a", "y")], "file_path string, name string")
+    made = symbols.identifier_index(ids)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["name"]: r["files"] for r in made.collect()} == {"x": ["a", "b"], "y": ["a"]}
+    docs = [(1, "getItem\nItem get\n\nHTTPServer x", "en", "s"), (1, "item camel\nCase", "en", "s"), (2, None, "en", "s"), (3, "a\nBB", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = lambda df: sorted({(r["file_path"], r["name"]) for r in df.collect()})
+    assert pairs(bindings.identifier_files(spark, str(tmp_path))) == pairs(bindings.identifiers(spark, str(tmp_path)))
