@@ -111,7 +111,8 @@ def identifier_index(identifiers: DataFrame) -> DataFrame:
 
 def import_names(imports: DataFrame) -> DataFrame:
     """(name, files): the importing files of each imported name, repeats kept, sorted."""
-    return imports.select("file_path", F.explode("names").alias("name")).groupBy("name").agg(F.array_sort(F.collect_list("file_path")).alias("files"))
+    own = imports.select("file_path", F.explode("names").alias("name")).repartition("name")
+    return own.groupBy("name").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
 
 
 def index_counters(parsed: DataFrame, listed: int = 50) -> DataFrame:

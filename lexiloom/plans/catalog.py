@@ -265,7 +265,7 @@ def identifier_index(spark, d):
 
 @query(f"with im as ({_IM}) select imported as name, list(file_path order by file_path) as files from im group by imported")
 def import_names(spark, d):
-    return symbols.import_names(b.bound(spark, d, b.IMPORTS).withColumn("names", F.array("imported")))
+    return symbols.import_names(b.imports(spark, d).withColumn("names", F.array("imported")))
 
 
 @query(r"select page_id, unnest(range(0, len(s))) as nth, unnest(s) as block from (select page_id, regexp_extract_all(html, '(?s)<script(?:\s[^>]*)?>(.*?)</script>', 1) s from pages)")

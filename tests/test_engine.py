@@ -281,3 +281,20 @@ def test_identifier_index_shuffles_once(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     pairs = lambda df: sorted({(r["file_path"], r["name"]) for r in df.collect()})
     assert pairs(bindings.identifier_files(spark, str(tmp_path))) == pairs(bindings.identifiers(spark, str(tmp_path)))
+
+
+def test_tables_by_keys_are_those_of_the_sql(spark, tmp_path):
+    from lexiloom.plans import bindings as b
+
+    d = str(tmp_path)
+    parts = [(k, n, br, t, 5) for k, n, br, t in [(1, "red bolt", "Brand#11", "STEEL"), (2, "red nut", "Brand#12", "TIN"), (3, "blue bolt", "Brand#13", "STEEL"), (3, "blue bolt", "Brand#13", "STEEL"), (3, "blue nail", "Brand#14", "TIN"), (4, None, "Brand#15", "TIN"), (5, "saw", "Brand#16", None), (6, "pin", "Brand#17", "TIN")]]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(d + "/part.parquet")
+    lines = [(o, k, 1, n, 1.0, 1.0) for o, ks in enumerate([[1, 2, 3, 1], [2, 2, 3], [1, 2], [4, 1, 5, 6], [3, 5, 99, 1], [6]]) for n, k in enumerate(ks)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(d + "/lineitem.parquet")
+    rows = lambda df: sorted(map(repr, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
+    assert rows(b.call_edges(spark, d)) == rows(b.bound(spark, d, b.CALL_EDGES).where("caller is not null and callee is not null"))
+    want = b.bound(spark, d, b.IMPORTS)
+    assert rows(b.imports(spark, d)) == rows(want) and len(rows(want)) > 5
+    assert rows(b.file_imports(spark, d)) == rows(want.select("file_path", "module_path").distinct())
+    for made in (b.call_edges, b.imports, b.file_imports):
+        assert "Broadcast" not in made(spark, d)._jdf.queryExecution().executedPlan().toString()
