@@ -110,17 +110,20 @@ class CallGraph:
     """edges: any table of (caller, callee); rows that repeat count once, null ends not at all."""
 
     local: _Local | None = None
+    kept = False  # whether edges and nodes are stored
 
     def __init__(self, edges: DataFrame, distinct: bool = False):
         self.edges = edges if distinct else edges.select("caller", "callee").where("caller is not null and callee is not null").distinct()
         self.nodes = self.edges.select(F.explode(F.array("caller", "callee")).alias("name")).distinct().withColumn("short_name", short_name("name"))
 
     @classmethod
-    def stored(cls, edges: DataFrame) -> CallGraph:
-        """A graph whose distinct edges are written once, for queries of several steps."""
-        g = cls(materialize(cls(edges).edges, "edges"), distinct=True)
+    def stored(cls, edges: DataFrame, distinct: bool = False) -> CallGraph:
+        """A graph whose distinct edges, and nodes where they are many, are written once, for queries of several steps."""
+        g = cls(materialize(cls(edges, distinct).edges, "edges"), distinct=True)
         if g.edges.count() <= LOCAL_EDGES:
             g.local = _Local(g.edges)
+        else:
+            g.nodes, g.kept, g.found = materialize(g.nodes, "nodes"), True, {}
         return g
 
     def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
@@ -149,7 +152,10 @@ class CallGraph:
         if self.local is not None:
             found = self.local.near(self.local.matches(text), to + "s")
             return self._rows([(x,) for x in self.local.names[found].tolist()], "name string")
-        return self.edges.join(self.matches(text).select(F.col("name").alias("__m")), F.col(at) == F.col("__m"), "left_semi").select(F.col(to).alias("name")).distinct()
+        found = self.matches(text).select("name")
+        if self.kept:  # a table of known size, else all edges are shuffled for a few names
+            found = self.found[text] = self.found[text] if text in self.found else materialize(found, "matches")
+        return self.edges.join(found.select(F.col("name").alias("__m")), F.col(at) == F.col("__m"), "left_semi").select(F.col(to).alias("name")).distinct()
 
     def callers(self, text: str) -> DataFrame:
         return self._near(text, "callee", "caller")
@@ -157,13 +163,13 @@ class CallGraph:
     def callees(self, text: str) -> DataFrame:
         return self._near(text, "caller", "callee")
 
-    def transitive(self, start: str, depth: int = 3, direction: str = "callers") -> DataFrame:
-        """(name, depth) reached in 1 to depth steps, at the least depth; the start itself isn't in it. Callers need the exact name, callees take partial ones."""
+    def transitive(self, start: str, depth: int = 3, direction: str = "callers", callees: DataFrame | None = None) -> DataFrame:
+        """(name, depth) reached in 1 to depth steps, at the least depth; the start itself isn't in it. Callers need the exact name, callees take partial ones. callees: those of the start, where they are known already."""
         if self.local is not None:
             levels = self.local.levels(start, depth, direction)
             return self._rows([(x, k) for k, level in enumerate(levels, 1) for x in self.local.names[level].tolist()], "name string, depth int")
         at, to = ("callee", "caller") if direction == "callers" else ("caller", "callee")
-        first = self.edges.where(F.col(at) == start).select(F.col(to).alias("name")).distinct() if direction == "callers" else self.callees(start)
+        first = self.edges.where(F.col(at) == start).select(F.col(to).alias("name")).distinct() if direction == "callers" else self.callees(start) if callees is None else callees
         seen = materialize(first.where(F.col("name") != start).withColumn("depth", F.lit(1)), "walk") if depth > 0 else first.limit(0).withColumn("depth", F.lit(1))
         frontier = seen
         for level in range(2, depth + 1):
@@ -179,7 +185,10 @@ class CallGraph:
         """Whether the target, by its exact name, can reach itself."""
         if self.local is not None:
             return self.local.reaches_itself(target)
-        frontier = seen = materialize(self.callees(target), "cycle")
+        return self._meets(target, *[materialize(self.callees(target), "cycle")] * 2)
+
+    def _meets(self, target: str, frontier: DataFrame, seen: DataFrame) -> bool:
+        """Whether the target is among the nodes seen, of which the frontier is the last level, or among those that they lead to."""
         while True:
             if not seen.where(F.col("name") == target).isEmpty():
                 return True
@@ -196,15 +205,28 @@ class CallGraph:
 
     def impact(self, target: str, depth: int = 3) -> DataFrame:
         """One row: counts of direct and transitive callers and callees, affected modules, cycle and risk."""
-        up, down = self.transitive(target, depth), self.transitive(target, depth, "callees")
-        direct = self.callers(target).agg(F.count(F.lit(1)).alias("direct_callers"))
-        callees = self.callees(target).agg(F.count(F.lit(1)).alias("direct_callees"))
+        callers, near = self.callers(target), self.callees(target)
+        if self.local is None:  # each is read several times
+            callers, near = materialize(callers, "near"), materialize(near, "near")
+        up, down = self.transitive(target, depth), self.transitive(target, depth, "callees", near)
+        direct = callers.agg(F.count(F.lit(1)).alias("direct_callers"))
+        callees = near.agg(F.count(F.lit(1)).alias("direct_callees"))
         ups = up.agg(F.count(F.lit(1)).alias("transitive_callers"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth_reached"))
         downs = down.agg(F.count(F.lit(1)).alias("transitive_callees"))
-        modules = up.select("name").union(self.callers(target)).select(extract_module("name").alias("m")).where("m is not null").distinct().agg(F.count(F.lit(1)).alias("modules"))
+        modules = up.select("name").union(callers).select(extract_module("name").alias("m")).where("m is not null").distinct().agg(F.count(F.lit(1)).alias("modules"))
         row = direct.crossJoin(callees).crossJoin(ups).crossJoin(downs).crossJoin(modules)  # each is one row
         dependents = F.greatest("transitive_callers", "direct_callers")
-        return row.select(F.lit(target).alias("target"), "*", F.lit(self.has_cycle(target)).alias("in_cycle"), (F.col("direct_callers") + F.col("transitive_callers")).alias("total_dependents"), F.round(risk_score(dependents, "depth_reached", depth, "modules"), 6).alias("risk"))
+        return row.select(F.lit(target).alias("target"), "*", F.lit(self._in_cycle(target, near, down, depth)).alias("in_cycle"), (F.col("direct_callers") + F.col("transitive_callers")).alias("total_dependents"), F.round(risk_score(dependents, "depth_reached", depth, "modules"), 6).alias("risk"))
+
+    def _in_cycle(self, target: str, near: DataFrame, down: DataFrame, depth: int) -> bool:
+        """has_cycle from its callees and a walk down to a depth: the target is met next where its callers are among them, and only levels beyond are walked anew."""
+        if self.local is not None or depth < 1:
+            return self.has_cycle(target)
+        into = self.edges.where(F.col("callee") == target).select(F.col("caller").alias("name"))
+        if not near.where(F.col("name") == target).isEmpty() or not down.join(into, "name", "left_semi").isEmpty():
+            return True
+        last = down.agg(F.max("depth")).first()[0]
+        return self._meets(target, down.where(F.col("depth") == last).select("name"), down.select("name"))
 
     def path(self, a: str, b: str) -> DataFrame:
         """(path, hops): a shortest undirected path between the first matches of two names, no row if there is none.

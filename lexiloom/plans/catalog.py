@@ -43,11 +43,11 @@ def _symbols(spark, d):
 
 
 def _graph(spark, d):
-    return CallGraph(b.bound(spark, d, b.CALL_EDGES))
+    return CallGraph(b.call_edges(spark, d), distinct=True)
 
 
 def _stored_graph(spark, d):
-    return CallGraph.stored(b.bound(spark, d, b.CALL_EDGES))
+    return CallGraph.stored(b.call_edges(spark, d), distinct=True)
 
 
 def _most_called(g: CallGraph) -> str:

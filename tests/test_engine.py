@@ -298,3 +298,17 @@ def test_tables_by_keys_are_those_of_the_sql(spark, tmp_path):
     assert rows(b.file_imports(spark, d)) == rows(want.select("file_path", "module_path").distinct())
     for made in (b.call_edges, b.imports, b.file_imports):
         assert "Broadcast" not in made(spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("edges, met", [([("t", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "t"), ("x", "t")], True), ([("t", "a"), ("a", "b"), ("b", "a"), ("x", "t")], False), ([("t", "t"), ("x", "t")], True), ([("x", "t")], False), ([("t", "a"), ("a", "t"), ("x", "a")], True)])
+def test_impact_of_a_large_graph(spark, monkeypatch, edges, met):
+    from lexiloom.operators import callgraph
+
+    table = spark.createDataFrame(edges, "caller string, callee string")
+    want = CallGraph.stored(table).impact("t").collect()
+    monkeypatch.setattr(callgraph, "LOCAL_EDGES", 0)
+    g = CallGraph.stored(table)
+    walks = []
+    monkeypatch.setattr(g, "has_cycle", lambda t: walks.append(t))
+    assert g.impact("t").collect() == want and want[0]["in_cycle"] == met
+    assert not walks and list(g.found) == ["t"]  # the walk down is used again, the name is looked up once
