@@ -380,7 +380,7 @@ def path_hops(spark, d):
 
 
 def _deps(spark, d):
-    return deps.deps_edges(b.bound(spark, d, b.IMPORTS), _symbols(spark, d).select("file_path"))
+    return deps.deps_edges(materialize(b.file_imports(spark, d), "imports"), _symbols(spark, d).select("file_path"))
 
 
 def _stored_deps(spark, d):

@@ -312,3 +312,22 @@ def test_impact_of_a_large_graph(spark, monkeypatch, edges, met):
     monkeypatch.setattr(g, "has_cycle", lambda t: walks.append(t))
     assert g.impact("t").collect() == want and want[0]["in_cycle"] == met
     assert not walks and list(g.found) == ["t"]  # the walk down is used again, the name is looked up once
+
+
+def test_deps_queries_make_one_row_a_pair_of_files(spark, monkeypatch):
+    """The join of lines runs once in each query, on pairs of files, and broadcasts no table of parts."""
+    from lexiloom.plans import catalog
+
+    d = os.environ.get("LEXILOOM_TEST_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    stored = []
+    real = catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, tag: stored.append((tag, df)) or real(df, tag))
+    for name in ("deps_edges", "deps_dependents", "deps_dependencies", "deps_modules", "deps_cycle_members", "deps_mermaid"):
+        stored.clear()
+        plan = catalog.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lineitem" not in plan and "l_partkey" not in plan
+        imports = [df for tag, df in stored if tag == "imports"]
+        assert len(imports) == 1 and imports[0].columns == ["file_path", "module_path"]
+        assert "Broadcast" not in imports[0]._jdf.queryExecution().executedPlan().toString()
